@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, minhash, pieces, substring, token_shards, toxicity
+from . import chat, decontaminate, imatch, minhash, pieces, secret_scan, substring, surrogates, token_shards, toxicity
+
+
+#: a real run passes a secret of its own
+SURROGATE_KEY = "surrogates of the test tables"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +44,26 @@ def op4_aho_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    parts = C.written(chat.formatted(chat.branches(chat.chained(rows.unionByName(extra)))), "chat")
+    return chat.digests(parts).drop("leaf")
+
+
+def op6_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(_table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{C.shared_dir(spark)}/quillspan/shards-{uuid.uuid4().hex}"
     return token_shards.read_shards(token_shards.write_shards(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json")))
@@ -52,7 +76,7 @@ def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "span_starts", "span_ends")
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seeds, op2_substring_dedup, op3_minmax_hash, op4_aho_viterbi, op9_token_shards, op10_toxic_spans)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seeds, op2_substring_dedup, op3_minmax_hash, op4_aho_viterbi, op5_reply_trees, op6_randomness_battery, op7_surrogates, op8_imatch, op9_token_shards, op10_toxic_spans)}
 
 ORACLES = {
     "op2_substring_dedup": r"""
