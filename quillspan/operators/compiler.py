@@ -16,10 +16,13 @@ from ..errors import RequestError
 from ..functions.geometry import similarity
 from ..plans.clauses import And, Boost, FieldClause, Fuse, Knn, Nested, Not, Or, Text, Words, scores
 from ..plans.definition import Place
-from .matchers import FALSE, matches
+from .matchers import matches, no
 from .text import text_hits
 
-TRUE = F.lit(True)
+
+
+def yes() -> Column:
+    return F.lit(True)
 
 
 @dataclass
@@ -31,7 +34,7 @@ class Part:
 
 
 def sure(c: Column) -> Column:
-    return F.coalesce(c, FALSE)
+    return F.coalesce(c, no())
 
 
 class Compiler:
@@ -86,7 +89,7 @@ class Compiler:
 
     def joined(self, df: DataFrame, hits: DataFrame | None) -> tuple[DataFrame, Part]:
         if hits is None:
-            return df, Part(FALSE, F.lit(0.0))
+            return df, Part(no(), F.lit(0.0))
         name = self.index.fresh("s")
         df = df.join(hits.select(*self.keys, F.col("s").alias(name)), self.keys, "left")
         return df, Part(F.col(name).isNotNull(), F.coalesce(F.col(name), F.lit(0.0)))
@@ -156,13 +159,13 @@ class Compiler:
         if isinstance(c, FieldClause) and not isinstance(c.match, Words):
             return self.field(c)
         if isinstance(c, And):
-            return reduce(Column.__and__, [self.predicate(x) for x in c.clauses], TRUE)
+            return reduce(Column.__and__, [self.predicate(x) for x in c.clauses], yes())
         if isinstance(c, Or):
-            return reduce(Column.__or__, [sure(self.predicate(x)) for x in c.clauses], FALSE)
+            return reduce(Column.__or__, [sure(self.predicate(x)) for x in c.clauses], no())
         if isinstance(c, Not):
-            return reduce(Column.__and__, [~sure(self.predicate(x)) for x in c.clauses], TRUE)
+            return reduce(Column.__and__, [~sure(self.predicate(x)) for x in c.clauses], yes())
         if isinstance(c, Boost):
-            return TRUE
+            return yes()
         if isinstance(c, Nested) and not self.path:
             return self.nested_predicate(c)
         raise RequestError("search:clause:unsupported_here", type(c).__name__)
@@ -190,14 +193,14 @@ class Compiler:
             for x in c.clauses:
                 df, p = self.one(df, x)
                 parts.append(p)
-            match = reduce(Column.__or__, [sure(p.match) for p in parts], FALSE)
+            match = reduce(Column.__or__, [sure(p.match) for p in parts], no())
             if not any(map(scores, c.clauses)):
                 return df, Part(match)
             # beside a scoring alternative, each that holds counts, a field clause with a constant
             each = [F.when(sure(p.match), p.score if p.score is not None else F.lit(1.0)).otherwise(0.0) for p in parts]
             return df, Part(match, reduce(Column.__add__, each))
         if isinstance(c, Not):
-            match = TRUE
+            match = yes()
             for x in c.clauses:
                 df, p = self.one(df, x)
                 match = match & ~sure(p.match)
@@ -206,7 +209,7 @@ class Compiler:
             df, p = self.all(df, c.clauses)
             # one clause keeps its own score, a field clause's being 1; several field clauses only filter, and lift nothing
             inner = p.score if p.score is not None else F.lit(1.0 if len(c.clauses) == 1 else 0.0)
-            return df, Part(TRUE, F.when(sure(p.match), c.weight * inner).otherwise(0.0))
+            return df, Part(yes(), F.when(sure(p.match), c.weight * inner).otherwise(0.0))
         if isinstance(c, Nested):
             self.list_of(c.path)
             at = Compiler(self.index, self.locale, c.path, F.col("_elem"))
@@ -218,13 +221,13 @@ class Compiler:
 
     def all(self, df: DataFrame, clauses) -> tuple[DataFrame, Part]:
         """An implicit AND; boosts add and never narrow."""
-        match, score = TRUE, None
+        match, score = None, None
         for c in clauses:
             df, p = self.one(df, c)
-            match = p.match if match is TRUE else match & p.match
+            match = p.match if match is None else match & p.match
             if p.score is not None:
                 score = p.score if score is None else score + p.score
-        return df, Part(match, score)
+        return df, Part(yes() if match is None else match, score)
 
     # lists narrowed by the query ----------------------------------------------------------------------------------------
 
@@ -248,7 +251,7 @@ class Compiler:
     def _holds(self, c: Nested):
         def holds(x: Column) -> Column:
             at = Compiler(self.index, self.locale, c.path, x)
-            return reduce(Column.__and__, [sure(at.predicate(k)) for k in c.clauses if at.simple(k)], TRUE)
+            return reduce(Column.__and__, [sure(at.predicate(k)) for k in c.clauses if at.simple(k)], yes())
 
         return holds
 
@@ -266,7 +269,7 @@ class Compiler:
             else:
                 vals = self.all_values(place)
                 if t.when:
-                    cond = reduce(Column.__and__, [sure(self.predicate(k)) for k in t.when], TRUE)
+                    cond = reduce(Column.__and__, [sure(self.predicate(k)) for k in t.when], yes())
                     vals = F.when(cond, vals)
             each.append(F.when(F.size(vals) > 0, vals))
         return F.coalesce(*each)

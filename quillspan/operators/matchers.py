@@ -12,7 +12,12 @@ from ..functions.geometry import within
 from ..plans.clauses import Any, Distance, Equals, In, Prefix, Range, Ranges, Under
 from ..plans.definition import NUMBERS, Field
 
-FALSE = F.lit(False)
+
+
+def no() -> Column:
+    return F.lit(False)
+
+
 SEPARATOR = "/"
 
 
@@ -52,7 +57,7 @@ def one(f: Field, v: Column, m) -> Column:
     elif isinstance(m, Equals):
         return v == literal(f, m.value)
     elif isinstance(m, In):
-        return v.isin([literal(f, x) for x in m.values]) if m.values else FALSE
+        return v.isin([literal(f, x) for x in m.values]) if m.values else no()
     elif isinstance(m, Prefix) and f.type == "string":
         return v.startswith(literal(f, m.value))
     elif isinstance(m, Under) and f.hierarchy is not None:
@@ -62,17 +67,17 @@ def one(f: Field, v: Column, m) -> Column:
         bounds = [op(v, literal(f, x)) for x, op in ((m.gt, Column.__gt__), (m.gte, Column.__ge__), (m.lt, Column.__lt__), (m.lte, Column.__le__)) if x is not None]
         return reduce(Column.__and__, bounds)
     elif isinstance(m, Ranges) and f.type != "boolean":
-        return reduce(Column.__or__, [one(f, v, r) for r in m.values]) if m.values else FALSE
+        return reduce(Column.__or__, [one(f, v, r) for r in m.values]) if m.values else no()
     raise RequestError("search:matcher:type_unsupported", f"{type(m).__name__} can't read {f.type}", f.name)
 
 
 def matches(f: Field, values: Column, multiple: bool, m, shadow: Column | None = None) -> Column:
     """The predicate on a field's value or list of values. ``shadow`` is the folded column, where one is stored."""
     if isinstance(m, (In, Ranges)) and not m.values:
-        return FALSE
+        return no()
     fold = (lambda x: F.lower(x)) if folds(f) and not isinstance(m, Any) else lambda x: x
     if not multiple:
         return one(f, shadow if shadow is not None and folds(f) else fold(values), m)
     if isinstance(m, Any):
-        return F.coalesce(F.exists(values, lambda x: x.isNotNull()), FALSE)
-    return F.coalesce(F.exists(values, lambda x: F.coalesce(one(f, fold(x), m), FALSE)), FALSE)
+        return F.coalesce(F.exists(values, lambda x: x.isNotNull()), no())
+    return F.coalesce(F.exists(values, lambda x: F.coalesce(one(f, fold(x), m), no())), no())
