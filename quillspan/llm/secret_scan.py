@@ -31,21 +31,21 @@ BINS = 300
 #: alphabet size and the sum of squared letter shares that text has in it
 ENCODINGS = {"hex": (16, 0.25), "base32": (32, 0.08), "base62": (62, 0.066), "base64": (64, 0.066)}
 CHANGES, SERIAL = 0.15, 0.25
-NONE = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
 
 
 def _spans(text: Column, pattern: str, hint: Column) -> Column:
     """Array of (s, e, m) of all matches, leftmost and not overlapping."""
     cut = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), NONE.alias("out"))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["c"])
         return F.struct((s + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"))
 
     pairs = F.zip_with(F.slice(cut, 1, F.size(hits)), hits, lambda c, m: F.struct(c.alias("c"), m.alias("m")))
-    return F.when(hint, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(NONE)
+    return F.when(hint, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def _battery(span: Column) -> Column:
