@@ -10,6 +10,7 @@ import html
 import re
 import unicodedata
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,6 +85,10 @@ class Chain:
             if kind in {"edgeNgram", "ngram"} and not 1 <= f.get("min", 1) <= f.get("max", MAX_GRAM):
                 raise DefinitionError("index:analysis:gram_invalid", str(f))
 
+    def _nfkc(self) -> bool:
+        """Compatibility forms are folded where ``normalize`` asks for it: Spark has no function for that."""
+        return any(f["type"] == "normalize" and f.get("form") == "nfkc" for f in self.filters)
+
     def _stop(self, f: dict) -> list[str]:
         return f.get("words") or STOPWORDS.get(f.get("language") or self.language or "", [])
 
@@ -100,6 +105,8 @@ class Chain:
                 text = F.regexp_replace(text, f["pattern"], f.get("replacement", ""))
             else:
                 raise DefinitionError("index:analysis:filter_unknown", f["type"])
+        if self._nfkc():
+            text = nfkc()(text)
         if any(f["type"] in {"normalize", "lowercase"} for f in self.filters):
             text = F.lower(text)
         cut = TOKENIZERS[self.tokenizer]
@@ -141,6 +148,8 @@ class Chain:
                     text = text.replace(k, f["map"][k])
             else:
                 text = re.sub(f["pattern"], _java(f.get("replacement", "")), text)
+        if self._nfkc():
+            text = unicodedata.normalize("NFKC", text)
         if any(f["type"] in {"normalize", "lowercase"} for f in self.filters):
             text = text.lower()
         cut = TOKENIZERS[self.tokenizer]
@@ -180,6 +189,17 @@ def _grams(x: Column, f: dict) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(start, F.lit(1))), lambda s: F.transform(sizes(s), lambda k: F.struct(x["p"].alias("p"), F.substring(x["t"], s, k).alias("t")))))
 
 
+def nfkc():
+    """Unicode NFKC, in Arrow batches."""
+
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKC")
+
+    return run
+
+
 def strip_html(text: Column) -> Column:
     """Markup out: scripts, styles and comments with their content, tags as a space, the common entities as characters."""
     out = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")

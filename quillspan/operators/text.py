@@ -75,20 +75,27 @@ def near_start(term: Column, word: str, edits: int) -> Column:
     return reduce(Column.__or__, [(F.length(term) >= k) & near(F.substring(term, 1, k), word, edits) for k in sizes])
 
 
+def term_hits(index, f: TextField, wanted: list[tuple[int, str, float]], keys: list[str]) -> DataFrame:
+    """Keys, slot, kind and BM25 score of (slot, term, boost): one pass over the postings of all terms."""
+    n, average = index.text_stats(f.name)
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for slot, term, boost in wanted:
+        by_term.setdefault(term, []).append((slot, boost))
+    slots = F.create_map(*(c for t, xs in by_term.items() for c in (F.lit(t), F.array(*(F.struct(F.lit(i).alias("slot"), F.lit(float(b)).alias("boost")) for i, b in xs)))))
+    tfs = index.postings(f.name).where(F.col("term").isin(list(by_term))).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    # a row for each word of the query
+    df = tfs.groupBy("term").agg(F.count("*").alias("df"))
+    rows = tfs.join(index.lengths(f.name), keys).join(F.broadcast(df), "term").select(*keys, F.explode(slots[F.col("term")]).alias("x"), "tf", "df", "len")
+    score = F.col("x.boost") * bm25(F.col("tf"), F.col("df"), n, F.col("len"), average, f.b)
+    return rows.select(*keys, F.col("x.slot").alias("slot"), F.lit("exact").alias("kind"), score.alias("s"))
+
+
 def word_hits(index, f: TextField, word: str, slot: int, keys: list[str], words: Words, as_prefix: bool, excluded: frozenset[str], synonyms: list[tuple[str, ...]]) -> list[DataFrame]:
-    """Frames of keys, slot, kind and score: each way in which documents hold one word."""
+    """Frames of keys, slot, kind and score: the ways in which documents hold one word, but for its very term."""
     post = index.postings(f.name)
     out = []
-    n, average = index.text_stats(f.name)
     edits = edits_allowed(word, f.usage, words, excluded, f.autocomplete_only)
 
-    def exact(terms: list[str], boost: float, kind: str) -> DataFrame:
-        tfs = post.where(F.col("term").isin(terms)).groupBy(*keys).agg(F.count("*").alias("tf"))
-        # one row: how many hold the word
-        df = tfs.agg(F.count("*").alias("df"))
-        rows = tfs.join(index.lengths(f.name), keys).crossJoin(F.broadcast(df))
-        return rows.select(*keys, F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), (boost * bm25(F.col("tf"), F.col("df"), n, F.col("len"), average, f.b)).alias("s"))
-
     def constant(test: Column, boost: float, kind: str) -> DataFrame:
         terms = index.terms(f.name).where(test).select("term")
         # a dictionary's matches can be many, so Spark picks the join
@@ -96,11 +103,10 @@ def word_hits(index, f: TextField, word: str, slot: int, keys: list[str], words:
 
     term = F.col("term")
     starts = as_prefix or f.autocomplete_only
-    out.append(constant(term.startswith(word), 1.0, "exact") if starts else exact([word], 1.0, "exact"))
+    if starts:
+        out.append(constant(term.startswith(word), 1.0, "exact"))
     for alternatives in synonyms:
-        if len(alternatives) == 1:
-            out.append(exact(list(alternatives), SYNONYM_BOOST, "exact"))
-        else:
+        if len(alternatives) > 1:
             out.append(phrase_hits(index, f, list(enumerate(alternatives)), 0, keys).select(*keys, F.lit(slot).alias("slot"), F.lit("exact").alias("kind"), (F.col("s") * SYNONYM_BOOST).alias("s")))
     if edits:
         anchor = term.startswith(word[:FIXED_START])
@@ -161,6 +167,17 @@ def exact_value_boost(index, fields: list[TextField], text: str, keys: list[str]
     return reduce(DataFrame.unionByName, out).groupBy(*keys).agg(F.max("x").alias("x")) if out else None
 
 
+def completed(index, f: TextField, text: str, size: int, word: str, last: bool) -> tuple[TextField, str]:
+    """The last of several words is looked up among the words for autocomplete, where the field has both usages and both
+    read as many words: what is half typed has no stem yet."""
+    if last and size > 1 and f.has_both:
+        other = f"{f.name}@autocomplete"
+        chain = index.chain(other)
+        if len(read := chain.analyze(text)) == size:
+            return TextField(other, f.weight, f.usage, chain, False, False), read[-1][1]
+    return f, word
+
+
 def loose_hits(index, fields: list[TextField], text: str, words: Words, keys: list[str]) -> DataFrame | None:
     """Keys and score for loose words; None where analysis leaves no word, which matches nothing."""
     read = {f.name: f.chain.analyze(text) for f in fields}
@@ -172,11 +189,16 @@ def loose_hits(index, fields: list[TextField], text: str, words: Words, keys: li
     for size, group in groups.items():
         frames = []
         for f in group:
-            excluded, sets = index.typo_exclusions(f), index.synonyms(f)
+            excluded, sets, exact = index.typo_exclusions(f), index.synonyms(f), []
             for slot, (_, word) in enumerate(read[f.name]):
                 last = slot == size - 1 and words.prefix == "last_token" and not f.autocomplete_only
-                hits = word_hits(index, f, word, slot, keys, words, last, excluded, sets.get(word, []))
+                exact += [(slot, a[0], SYNONYM_BOOST) for a in sets.get(word, []) if len(a) == 1]
+                if not last and not f.autocomplete_only:
+                    exact.append((slot, word, 1.0))
+                hits = word_hits(index, *completed(index, f, text, size, word, last), slot, keys, words, last, excluded, sets.get(word, []))
                 frames += [h.withColumn("f", F.lit(f.name)).withColumn("s", F.col("s") * f.weight) for h in hits]
+            if exact:
+                frames.append(term_hits(index, f, exact, keys).withColumn("f", F.lit(f.name)).withColumn("s", F.col("s") * f.weight))
         rows = reduce(DataFrame.unionByName, frames)
         # of the readings of one kind the best counts; a typo's adds to the exact word's
         rows = rows.groupBy(*keys, "f", "slot", "kind").agg(F.max("s").alias("s")).groupBy(*keys, "f", "slot").agg(F.sum("s").alias("s"))
@@ -197,7 +219,7 @@ def phrase_of(index, fields: list[TextField], text: str, slop: int, keys: list[s
         if f.autocomplete_only:
             continue
         if tokens := f.chain.analyze(text):
-            hits = phrase_hits(index, f, tokens, slop, keys) if len(tokens) > 1 else reduce(DataFrame.unionByName, word_hits(index, f, tokens[0][1], 0, keys, Words("", typos="off"), False, frozenset(), [])).select(*keys, "s")
+            hits = phrase_hits(index, f, tokens, slop, keys) if len(tokens) > 1 else term_hits(index, f, [(0, tokens[0][1], 1.0)], keys).select(*keys, "s")
             out.append(hits.withColumn("s", F.col("s") * f.weight))
     return reduce(DataFrame.unionByName, out).groupBy(*keys).agg(F.max("s").alias("s")) if out else None
 

@@ -88,10 +88,14 @@ class Index:
         values = Compiler(self).list_of(path)
         return self.frame.select("*", F.posexplode(values).alias("_ord", "_elem"))
 
+    def _place(self, name: str):
+        """A text field's place; ``name@autocomplete`` is its other usage."""
+        return self.definition.place(name.partition("@")[0])
+
     def _text_of(self, name: str) -> tuple[DataFrame, list[str], Column]:
-        place = self.definition.place(name)
+        place = self._place(name)
         source = self.elements(place.nested) if place.nested else self.frame
-        at = Compiler(self, self._locale.get(name), place.nested, F.col("_elem") if place.nested else None)
+        at = Compiler(self, self._locale.get(place.name), place.nested, F.col("_elem") if place.nested else None)
         return source, at.keys, at.all_values(place)
 
     @property
@@ -99,13 +103,13 @@ class Index:
         return self.__dict__.setdefault("_locales", {})
 
     def chain(self, name: str) -> Chain:
-        f = self.definition.place(name).field
-        usage = f.text_usage
-        tag = self._locale.get(name)
+        place = self._place(name)
+        usage = (place.field.autocomplete if name.endswith("@autocomplete") else place.field.text_usage) or {}
+        tag = self._locale.get(place.name)
         return Chain(usage.get("analyzer") or {k: v for k, v in usage.items() if k in {"language", "preset", "filters", "tokenizer", "charFilters"}}, tag.split("-")[0] if tag else None)
 
     def _table(self, kind: str, name: str, make) -> DataFrame:
-        key = f"{kind}:{name}:{self._locale.get(name) or ''}"
+        key = f"{kind}:{name}:{self._locale.get(name.partition('@')[0]) or ''}"
         if key not in self._tables:
             self._tables[key] = make()
         return self._tables[key]
@@ -123,7 +127,7 @@ class Index:
 
     def lengths(self, name: str) -> DataFrame:
         """keys and len: a field's tokens in a document."""
-        place = self.definition.place(name)
+        place = self._place(name)
         keys = [self.pk] + (["_ord"] if place.nested else [])
         return self._table("lengths", name, lambda: self.postings(name).groupBy(*keys).agg(F.count("*").alias("len")))
 
@@ -162,7 +166,7 @@ class Index:
                     (t.repartitionByRange("term").sortWithinPartitions("term") if kind != "lengths" else t).write.mode("overwrite").parquet(path)
                     t = t.sparkSession.read.parquet(path)
                 else:
-                    t = t.cache()
+                    t = t.coalesce(t.sparkSession.sparkContext.defaultParallelism).cache()
                 tables[key] = self._tables[key] = t
         return Index(self.definition, self.frame, self.settings, DEFAULT_NOW, self.limits, tables)._with_now(self.now)
 

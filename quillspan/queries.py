@@ -62,45 +62,81 @@ CHATS = {"fields": {"conv_id": {"type": "int64", "primaryKey": True}, "turns": {
 PLACES = {"fields": {"c_custkey": {"type": "int64", "primaryKey": True}, "c_name": S | FS, "location": {"type": "geo_point", "filter": {}, "sort": {}}}}
 
 
-def documents(spark, d, settings=None, definition=DOCUMENTS, **how) -> Index:
-    return Index(definition, table(spark, d, "documents"), settings, **how)
+#: indexes made once by ``prepare``; queries search them instead of deriving postings again
+BUILT: dict[tuple[str, str], Index] = {}
 
 
-def parts(spark, d, settings=None, definition=PARTS, **how) -> Index:
-    rows = table(spark, d, "part").withColumn("tree", F.concat_ws("/", "p_brand", F.replace("p_type", F.lit(" "), F.lit("/"))))
-    return Index(definition, rows, settings, **how)
+def _index(name: str, d: str, default: dict, rows: Callable[[], DataFrame], settings=None, definition=None, **how) -> Index:
+    built = BUILT.get((name, d)) if definition is None else None
+    if built is None:
+        return Index(definition or default, rows(), settings, **how)
+    out = Index(built.definition, built.frame, settings, tables=built._tables, **how)
+    out._stats = built._stats
+    return out
+
+
+def documents(spark, d, *a, **how) -> Index:
+    return _index("documents", d, DOCUMENTS, lambda: table(spark, d, "documents"), *a, **how)
+
 
+def parts(spark, d, *a, **how) -> Index:
+    return _index("parts", d, PARTS, lambda: table(spark, d, "part").withColumn("tree", F.concat_ws("/", "p_brand", F.replace("p_type", F.lit(" "), F.lit("/")))), *a, **how)
 
-def orders(spark, d, settings=None, definition=ORDERS, **how) -> Index:
-    return Index(definition, table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), settings, **how)
 
+def orders(spark, d, *a, **how) -> Index:
+    return _index("orders", d, ORDERS, lambda: table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), *a, **how)
 
-def with_lines(spark, d, definition=ORDERS, **how) -> Index:
+
+def with_lines(spark, d, **how) -> Index:
     """Orders with their lines as a nested list: lines are gathered by key once, in line order."""
-    line = F.struct(F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("double").alias("qty"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("mode"))
-    lists = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    rows = table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).join(lists, "o_orderkey", "left")
-    return Index(definition, rows, **how)
+
+    def rows() -> DataFrame:
+        line = F.struct(F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("double").alias("qty"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("mode"))
+        lists = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        return table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).join(lists, "o_orderkey", "left")
+
+    return _index("with_lines", d, ORDERS, rows, **how)
 
 
 def events(spark, d, **how) -> Index:
-    return Index(EVENTS, table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), **how)
+    return _index("events", d, EVENTS, lambda: table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), **how)
 
 
 def vectors(spark, d, **how) -> Index:
-    return Index(VECTORS, table(spark, d, "embeddings").withColumn("label", F.col("label").cast("string")), **how)
+    return _index("vectors", d, VECTORS, lambda: table(spark, d, "embeddings").withColumn("label", F.col("label").cast("string")), **how)
 
 
 def chats(spark, d, **how) -> Index:
-    turn = F.struct(F.col("turn").alias("o"), F.col("role"), F.col("text"), F.col("turn"))
-    lists = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    return Index(CHATS, lists.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["turn"].alias("turn"))).alias("turns")), **how)
+    def rows() -> DataFrame:
+        turn = F.struct(F.col("turn").alias("o"), F.col("role"), F.col("text"), F.col("turn"))
+        lists = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+        return lists.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["turn"].alias("turn"))).alias("turns"))
+
+    return _index("chats", d, CHATS, rows, **how)
 
 
 def places(spark, d, **how) -> Index:
-    k = F.col("c_custkey")
-    point = F.struct(((k * 7919) % 18000 / 100.0 - 90).cast("double").alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).cast("double").alias("lon"))
-    return Index(PLACES, table(spark, d, "customer").withColumn("location", F.when(k % 10 != 0, point)), **how)
+    def rows() -> DataFrame:
+        k = F.col("c_custkey")
+        point = F.struct(((k * 7919) % 18000 / 100.0 - 90).cast("double").alias("lat"), ((k * 104729) % 36000 / 100.0 - 180).cast("double").alias("lon"))
+        return table(spark, d, "customer").withColumn("location", F.when(k % 10 != 0, point))
+
+    return _index("places", d, PLACES, rows, **how)
+
+
+def prepare(spark: SparkSession, d: str) -> None:
+    """Build the indexes as an engine does before it is searched: documents held in memory, postings derived once."""
+    for build in (documents, parts, orders, with_lines, events, vectors, chats, places):
+        index = build(spark, d)
+        index.frame = index.frame.cache()
+        index.frame.count()
+        index = index.prepared()
+        for t in index._tables.values():
+            t.count()
+        for n in index.definition.names():
+            if index.definition.place(n).field.textual:
+                index.text_stats(n)
+        BUILT[(build.__name__, d)] = index
 
 
 def match(field: str, **m) -> dict:

@@ -273,3 +273,32 @@ def test_wildcards_and_chains(spark):
     assert found(index, sort=[chain]) == [2, 1, 3]
     got = index.search({"facets": [chain | {"ranges": [{"to": 100}, {"from": 100}]}]}).facets["prices.amount"]
     assert [r["count"] for r in got.orderBy("position").collect()] == [1, 1]
+
+
+def test_completed_last_word(spark):
+    """The stem of what is half typed isn't asked for: the other usage has the words as they stand."""
+    d = {"fields": {"id": {"type": "int64", "primaryKey": True}, "name": S | {"matching": {"language": "en"}, "autocomplete": {}}}}
+    index = Index(d, spark.createDataFrame([(1, "trail running shoes"), (2, "trail rug")], "id long, name string"))
+    assert found(index, query=[{"type": "text", "text": "trail runni"}]) == [1]
+    assert sorted(found(index, query=[{"type": "text", "text": "trail ru"}])) == [1, 2]
+
+
+def test_analysis_chains(spark):
+    from quillspan.functions.analysis import Chain
+
+    text = "Don't <b>STOP</b> the ﬁne cats running café"
+    for spec in ({}, {"language": "en"}, {"charFilters": [{"type": "htmlStrip"}]}, {"tokenizer": "whitespace", "filters": ["asciiFolding"]}, {"filters": [{"type": "normalize", "form": "nfkc"}]}, {"tokenizer": "letter"}, {"tokenizer": "keyword"}, {"filters": ["normalize", {"type": "edgeNgram", "min": 2, "max": 3}]}, {"filters": ["normalize", {"type": "ngram", "min": 3, "max": 3}]}, {"filters": ["normalize", {"type": "synonyms", "map": {"cats": ["felines"]}}]}, {"charFilters": [{"type": "mapping", "map": {"STOP": "halt"}}, {"type": "patternReplace", "pattern": "c(a)", "replacement": "k$1"}]}, {"filters": ["normalize", {"type": "decompound", "words": ["run", "ning"]}]}):
+        chain = Chain(spec)
+        got = spark.range(1).select(chain.tokens(F.lit(text)).alias("t")).first()["t"]
+        assert [tuple(x) for x in got] == chain.analyze(text, query_side=False), spec
+    with pytest.raises(EngineError, match="language_unsupported"):
+        Chain({"language": "xx"})
+
+
+def test_deadline(spark):
+    from quillspan.plans.deadline import collected_within
+
+    assert len(collected_within(spark.range(3).toDF("x"), 60)) == 3
+    slow = spark.range(0, 10**12, 1, 4).agg(F.max(F.sha2(F.col("id").cast("string"), 512)))
+    with pytest.raises(EngineError, match="timeout"):
+        collected_within(slow, 2)
