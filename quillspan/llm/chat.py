@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -57,20 +58,23 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     m = C.written(messages.select(key.alias("c"), "conv_id", F.col("id").cast("long"), F.col("parent").cast("long"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
     known = m.select("c", F.col("id").alias("parent"), F.lit(True).alias("there"))
     start = m.select("c", "id", "parent", "score").join(known, ["c", "parent"], "left").select("c", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total"))
-    jumps = [C.written(start, "jump-0")]
+    start = C.written(start, "jump-0")
+    # nodes that have reached their root take no part in further joins
+    jumps, ended = [start.where("up IS NOT NULL")], [start.where("up IS NULL")]
     limit = max(1, m.count()).bit_length() + 1
-    while len(jumps) <= limit and jumps[-1].where("up IS NOT NULL").limit(1).count():
-        a = jumps[-1].alias("a")
-        b = jumps[-1].select(F.col("c").alias("bc"), F.col("id").alias("bid"), F.col("up").alias("bup"), F.col("steps").alias("bsteps"), F.col("total").alias("btotal"))
-        nxt = a.join(b, (F.col("c") == F.col("bc")) & (F.col("up") == F.col("bid")), "left").select("c", "id", F.col("bup").alias("up"), (F.col("steps") + F.coalesce("bsteps", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("btotal", F.lit(0.0))).alias("total"))
-        jumps.append(C.written(nxt, f"jump-{len(jumps)}"))
-    done = jumps[-1].where("up IS NULL").select("c", "id", "steps", "total")
+    while len(jumps) <= limit and jumps[-1].limit(1).count():
+        b = reduce(DataFrame.unionByName, [jumps[-1], *ended]).select(F.col("c").alias("bc"), F.col("id").alias("bid"), F.col("up").alias("bup"), F.col("steps").alias("bsteps"), F.col("total").alias("btotal"))
+        nxt = jumps[-1].join(b, (F.col("c") == F.col("bc")) & (F.col("up") == F.col("bid"))).select("c", "id", F.col("bup").alias("up"), (F.col("steps") + F.col("bsteps")).alias("steps"), (F.col("total") + F.col("btotal")).alias("total"))
+        nxt = C.written(nxt, f"jump-{len(jumps)}")
+        jumps.append(nxt.where("up IS NOT NULL"))
+        ended.append(nxt.where("up IS NULL"))
+    done = reduce(DataFrame.unionByName, ended).select("c", "id", "steps", "total")
     leaves = done.join(m.select("c", F.col("parent").alias("id")).where("id IS NOT NULL").distinct(), ["c", "id"], "left_anti")
     best = Window.partitionBy("c").orderBy(F.desc("total"), F.asc("id"))
     marked = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("c", F.col("id").alias("leaf"), "id")
     marked = C.written(marked, "leaves")
-    for j in jumps[:-1]:
-        over = marked.join(j.select("c", "id", "up").where("up IS NOT NULL"), ["c", "id"]).select("c", "leaf", F.col("up").alias("id"))
+    for j in jumps:
+        over = marked.join(j.select("c", "id", "up"), ["c", "id"]).select("c", "leaf", F.col("up").alias("id"))
         marked = C.written(marked.unionByName(over), "marked")
     return marked.join(done.select("c", "id", "steps"), ["c", "id"]).join(m, ["c", "id"]).select("conv_id", "leaf", F.col("steps").alias("depth"), "role", "text")
 
