@@ -14,6 +14,7 @@ encode like empty ones, to no piece.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -52,7 +53,7 @@ class _Memo(dict):
 
 
 class PieceCodec:
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
     def __init__(self, model: dict):
         self.bytes, self.unknown = model["bytes"], model["unknown"]
@@ -69,34 +70,34 @@ class PieceCodec:
 
     def search(self, s: str) -> list[int]:
         """Ids of the best path through s, whose spaces are marked already."""
-        n = len(s)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
-        at = 0  # positions up to here are final
-        worst = self.worst
-
-        def fall(to: int) -> None:
-            nonlocal at
-            while at < to:
-                at += 1
-                if back[at] is None or best[at - 1] + worst > best[at]:
-                    best[at], back[at] = best[at - 1] + worst, (1, -1)
-
+        n, worst = len(s), self.worst
+        best, size, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        at = 0  # positions up to here have taken their fallback edge and are final
         for end, (length, score, i) in self.auto.iter(s):
-            fall(end)
-            got = best[end + 1 - length] + score
-            old = back[end + 1]
-            if old is None or got > best[end + 1] or (got == best[end + 1] and length > old[0]):
-                best[end + 1], back[end + 1] = got, (length, i)
-        fall(n)
+            while at < end:
+                at += 1
+                fallen = best[at - 1] + worst
+                if fallen > best[at]:
+                    best[at], size[at], piece[at] = fallen, 1, -1
+            end += 1
+            got = best[end - length] + score
+            if got > best[end] or (got == best[end] and length > size[end]):
+                best[end], size[end], piece[end] = got, length, i
+        while at < n:
+            at += 1
+            fallen = best[at - 1] + worst
+            if fallen > best[at]:
+                best[at], size[at], piece[at] = fallen, 1, -1
         out, at = [], n
         while at:
-            length, i = back[at]
+            i = piece[at]
             if i >= 0:
                 out.append(i)
             else:
                 ch = SPACE if s[at - 1] == HOLE else s[at - 1]
                 out += [self.bytes.get(b, self.unknown) for b in reversed(ch.encode("utf-8", "surrogatepass"))]
-            at -= length
+            at -= size[at]
         return out[::-1]
 
     def encode(self, text: str) -> np.ndarray:
