@@ -39,7 +39,7 @@ class WordEncoder:
     per-text cost of its alignment. Any other tokenizer file is used as it is, text by text.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
     NORMALIZER = ["NFC", "Replace", "Lowercase"]
 
     def __init__(self, spec: str):
@@ -47,31 +47,43 @@ class WordEncoder:
 
         got = json.loads(spec)
         self.whole = Tokenizer.from_str(spec)
-        self.memo: dict[bytes, np.ndarray] = {}
+        # ids as the bytes of 32-bit (16-bit where the vocabulary allows) integers, by word and by normalised piece
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": b""}
         steps = [x["type"] for x in (got.get("normalizer") or {}).get("normalizers", [])]
         split = (got.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = steps == self.NORMALIZER and [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["use_regex"] and not split[1]["add_prefix_space"] and got["model"]["type"] == "BPE"
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 65536 else "<u4")
         if self.by_word:
             self.special = [x["content"].encode() for x in got["added_tokens"]]
-            self.cut = regex.compile(split[0]["pattern"]["Regex"])
-            self.letters = _byte_letters()
+            self.cut = regex.compile(r"\n|" + split[0]["pattern"]["Regex"]).findall
+            self.letters = _byte_letters() | {10: "\n"}
             self.model = Tokenizer.from_str(json.dumps(got | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
 
-    @staticmethod
-    def _lower(word: str) -> str:
-        # letter by letter, as the library does: no rule for a final sigma
-        return word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+    def _cut(self, words: list[bytes]) -> list[str]:
+        """Normalised pieces of all words, with a line end after each word."""
+        text = b"\n".join(words).decode() + "\n"
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # the library lowers letter by letter; Python does but for a final sigma
+        return self.cut("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
 
     def _learn(self, words: list[bytes]) -> None:
-        pieces = [self.cut.findall(self._lower(w.decode())) for w in words]
-        flat = list({p for ps in pieces for p in ps})
-        ids: dict[str, list[int]] = {p: [] for p in flat}
-        if flat:
-            got = self.model.encode([p.encode().decode("latin-1").translate(self.letters) for p in flat], is_pretokenized=True, add_special_tokens=False)
-            for w, i in zip(got.word_ids, got.ids, strict=True):
-                ids[flat[w]].append(i)
-        for w, ps in zip(words, pieces, strict=True):
-            self.memo[w] = np.array([i for p in ps for i in ids[p]], np.uint16 if self.model.get_vocab_size() <= 65536 else np.uint32)
+        cut = self._cut(words)
+        known = self.pieces
+        if new := list(set(cut).difference(known)):
+            got = self.model.encode("\n".join(new).encode().decode("latin-1").translate(self.letters).split("\n"), is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(got.ids, self.kind), np.array(got.word_ids)
+            ends = np.searchsorted(of, np.arange(len(new)), "right").tolist()
+            raw, size, at = ids.tobytes(), self.kind.itemsize, 0
+            for p, e in zip(new, ends, strict=True):
+                known[p] = raw[at * size : e * size]
+                at = e
+        memo, at = self.words, 0
+        for w in words:
+            end = cut.index("\n", at)
+            memo[w] = known[cut[at]] if end == at + 1 else b"".join([known[p] for p in cut[at:end]])
+            at = end + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
@@ -80,13 +92,14 @@ class WordEncoder:
         # a special token's own string in a text is matched by the library before anything else
         odd = {i for i, r in enumerate(raw) if any(s in r for s in self.special)}
         words = [[] if i in odd else r.split() for i, r in enumerate(raw)]
-        if len(self.memo) > self.LIMIT:
-            self.memo.clear()
-        memo = self.memo
-        if new := [w for w in set().union(*words) if w not in memo]:
+        if len(self.words) > self.LIMIT:
+            self.words.clear()
+        if len(self.pieces) > self.LIMIT:
+            self.pieces = {"\n": b""}
+        if new := list(set().union(*words).difference(self.words)):
             self._learn(new)
-        none = np.empty(0, np.uint16)
-        return [np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in odd else np.concatenate([memo[w] for w in ws]) if ws else none for i, ws in enumerate(words)]
+        ids = self.words.__getitem__
+        return [np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in odd else np.frombuffer(b"".join(map(ids, ws)), self.kind) for i, ws in enumerate(words)]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -113,8 +126,8 @@ def _pack(spec_of):
         order = np.lexsort([np.asarray(ids.fill_null(0)), np.asarray(ids.is_null())])
         texts = table.column("text").combine_chunks()
         each, lens = [], []
-        for at in range(0, len(order), 64):
-            for got in enc.encode([texts[int(i)].as_py() or "" for i in order[at : at + 64]]):
+        for at in range(0, len(order), 256):
+            for got in enc.encode([texts[int(i)].as_py() or "" for i in order[at : at + 256]]):
                 each += [got, np.array([END_ID], np.uint16)]
                 lens.append(len(got) + 1)
         flat = np.concatenate(each).astype(np.uint32)
@@ -147,4 +160,5 @@ def _read(batches):
 def read_shards(shards: DataFrame) -> DataFrame:
     """Per document, read back from the shard files: position in the stream, tokens, CRC of its ids."""
     totals = shards.select("shard", "n_tokens").withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return shards.drop("n_tokens").join(totals.select("shard", "start"), "shard").select("start", "doc_ids", "data").mapInArrow(_read, C.schema(RESULT))
+    # a number for each shard, of which write_shards makes a million at most: the files themselves stay where they are
+    return shards.drop("n_tokens").join(F.broadcast(totals.select("shard", "start")), "shard").select("start", "doc_ids", "data").mapInArrow(_read, C.schema(RESULT))

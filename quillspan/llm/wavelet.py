@@ -31,9 +31,10 @@ class WaveletMatrix:
         cur = ids.astype(np.uint16) if bits <= 16 else ids
         planes = []
         for b in range(bits - 1, -1, -1):
-            bit = (cur >> b) & 1 == 1
+            bit = (cur & cur.dtype.type(1 << b)) != 0
             planes.append(bit)
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            if b:
+                cur = np.concatenate([cur[~bit], cur[bit]])
         return cls(len(ids), planes)
 
     def ids(self) -> np.ndarray:
