@@ -4,11 +4,12 @@ Under each permutation both the smallest and the largest value of a document's s
 give 2P unbiased agreements for P hash evaluations a shingle. Bands take two permutations, smallest and largest of each:
 four agreements. With 32 bands a pair at a similarity of 0.8 is missed with a chance of (1 - 0.8^4)^32 = 5e-8.
 
-Equal sets are one class, whatever their number. In each band bucket every class is first compared with the smallest
-one; a class that ended in another component than the bucket's main one is then compared with all of the bucket that is
-not yet in its component. So a bucket of n true near-copies costs n comparisons rather than n^2, while any two classes
-that share a bucket and are not yet connected have been compared: no link between components is lost. Candidates are
-confirmed on their full sets.
+Equal sets are one class, whatever their number. In each band bucket every class is first compared with the one that
+meets most others; a class that ended in another component than the bucket's main one is then compared with all of the
+bucket that is not yet in its component, first where the sketches look most alike, then wherever they leave a similarity
+of the threshold possible (six standard deviations). So a bucket of n true near-copies costs about n comparisons rather
+than n^2, while any two classes that share a bucket and are not yet connected have been compared: no link between
+components is lost. Candidates are confirmed on their full sets.
 
 Nulls: null and empty texts have no shingles and are linked with nothing. A text of fewer words than a shingle is one
 shingle. Rows with a null doc_id take no part in links and are kept. Rows that repeat a doc_id are one document, linked
@@ -20,14 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import connected_components
 
 PERMS, BANDS = 64, 32
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: str | None, n: int, memo: C.WordHash, mult: np.ndarray) -> np.ndarray:
@@ -68,25 +69,26 @@ def _sign(n: int):
                         keys[k] = C.mix(keys[k] * C.U64(0x9E3779B97F4A7C15) + sig[4 * k + r])
                     keys[k] = C.mix(keys[k] + salt[k])
                 sketch = (C.mix(sig) >> C.U64(56)).astype(np.uint8)
-                bands, sketches = [[] for _ in sets], [b""] * len(sets)
+                bands, lanes = [[] for _ in sets], [[] for _ in sets]
                 for j, i in enumerate(full):
                     bands[i] = keys[:, j].view(np.int64)
-                    sketches[i] = sketch[:, j].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=SIGNED)
+                    lanes[i] = np.ascontiguousarray(sketch[:, j]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lanes, pa.list_(pa.int64()))], schema=SIGNED)
 
     return sign
 
 
-def _hopeful(floor: float):
-    """Pairs whose sizes and sketches leave a similarity of the threshold possible (six standard deviations of 128)."""
+def _equal_bytes(x: Column, y: Column) -> Column:
+    """How many of the 128 bytes in 16 lanes are equal: differing bits fold into the lowest bit of each byte."""
 
-    def hopeful(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 2 * PERMS) for c in (b.column(2), b.column(3)))
-            keep = (x == y).sum(axis=1) >= floor
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+    def differing(i: int) -> Column:
+        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        for k in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return hopeful
+    lanes = 2 * PERMS // 8
+    return 2 * PERMS - sum((differing(i) for i in range(1, lanes)), differing(0))
 
 
 def _confirm(n: int, percent: int):
@@ -113,39 +115,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = C.written(classes, "classes")
     members = signed.join(classes, "digest").select("doc_id", "rep").distinct()
-    reps = C.written(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
+    reps = C.written(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "lanes"), "reps")
     spread = reps.select("rep", "n", F.explode("bands").alias("key"))
-    shared = C.written(spread.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    bucketed = C.written(spread.join(shared.select("key", "hub"), "key"), "bucketed")
+    shared = C.written(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    bucketed = C.written(spread.join(shared.hint("merge"), "key"), "bucketed")
+    # of a group of copies the original meets most others: it makes the best centre
+    drawn = bucketed.groupBy("rep").agg(F.sum("size").alias("drawn"))
+    hubs = bucketed.join(drawn, "rep").groupBy("key").agg(F.max_by("rep", F.struct("drawn", -F.col("rep"))).alias("hub"))
+    hubs = C.written(hubs, "hubs")
+    # texts move once, whatever the rounds; the hint keeps the plan the same at every size
+    texts = C.written(docs.join(drawn.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
+    sides = reps.select("rep", "n", "lanes")
     floor = percent / 100
-    floor = 2 * PERMS * floor - 6 * (2 * PERMS * floor * (1 - floor)) ** 0.5
-    sides = reps.select("rep", "n", "sketch")
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = C.written(pairs, "pairs")
-        a, b = (sides.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        left = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        left = C.written(left.select("a", "b", "sa", "sb").mapInArrow(_hopeful(floor), "a long, b long"), "hopeful")
-        ids = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
-        few = C.written(docs.join(ids, "doc_id", "left_semi"), "texts")
-        ta, tb = (few.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        full = left.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-        return C.written(full.mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "edges"), pairs
-
-    first, tried = verified(bucketed.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    comps = C.written(connected_components(first, "a", "b"), "components")
-    placed = bucketed.join(comps, bucketed.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    placed = C.written(placed, "placed")
-    mixed = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = C.written(mixed.select("key", "main"), "mixed")
-    several = C.written(placed.join(mixed, "key"), "several")
-    odd = several.where("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    cross = several.join(odd, "key").where(f"comp <> c AND 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
-    second, _ = verified(cross.join(tried, ["a", "b"], "left_anti"))
+    safe = int(2 * PERMS * floor - 6 * (2 * PERMS * floor * (1 - floor)) ** 0.5)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        full = tb.join(pairs.hint("merge"), "b").join(ta.hint("merge"), "a").select("a", "b", "ta", "tb")
+        return C.written(full.mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "edges")
+
+    def hopeful(least_equal: int, n1: str, n2: str, x: str, y: str) -> Column:
+        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})") & (_equal_bytes(F.col(x), F.col(y)) >= least_equal)
+
+    pairs = bucketed.join(hubs.hint("merge"), "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    a, b = (sides.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("lanes").alias(f"x{k}")) for k in "ab")
+    tried = C.written(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(hopeful(safe, "na", "nb", "xa", "xb")).select("a", "b"), "tried")
+    edges = verified(tried)
+    # first the pairs that look most alike, so that few are left for the round that leaves none out
+    for least_equal in (int(2 * PERMS * (floor + 0.05)), safe):
+        comps = C.written(connected_components(edges, "a", "b"), "components")
+        placed = bucketed.join(comps.hint("merge"), bucketed.rep == comps.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        placed = C.written(placed, "placed")
+        mixed = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+        several = C.written(placed.join(mixed.select("key", "main").hint("merge"), "key").join(sides.hint("merge"), "rep"), "several")
+        odd = several.where("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("lanes").alias("y"))
+        cross = several.join(odd.hint("merge"), (several.key == odd.key) & (F.col("comp") != F.col("c")) & hopeful(least_equal, "n", "m", "lanes", "y"))
+        cross = cross.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
+        both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        cross = C.written(cross.join(both_ways, ["a", "b"], "left_anti"), "cross")
+        edges = C.written(edges.unionByName(verified(cross)), "edges")
+        tried = C.written(tried.unionByName(cross), "tried")
     # a doc_id whose rows are in several classes ties these together
     several = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
     tied = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(first.unionByName(second).unionByName(tied), "a", "b")
+    final = connected_components(edges.unionByName(tied), "a", "b")
     named = members.join(final, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
