@@ -3,16 +3,19 @@
 Terms are the distinct words of a text in lower case, as 64-bit hashes. The lexicon holds the terms whose document
 frequency lies in a band of inverse document frequency, counted over all documents. A term of at least a share f of the
 documents is one of at most (mean distinct terms / f) terms, so the lexicon is bounded whatever the input; it is broadcast
-below ``BROADCAST`` terms and joined by shuffle beyond. The lexicon is dealt at random into subsets; a subset's signature
-hashes the document's distinct terms in it. Sorting serves to make that hash independent of order; here the terms' mixed
-hashes are combined by exclusive or, which has no order, so that Spark can aggregate them partially and no list is built.
-The fingerprint is the list of signatures. Likeness is the share of signatures that agree among those that either fills.
+below ``BROADCAST`` terms and joined by shuffle beyond. Random subsets of the lexicon overlap, and together they hold all
+of it: each term is dealt to one of the dense subsets, every other term to one more of them, and a sixteenth of all terms
+to a sparse subset besides. A subset's signature hashes the document's distinct terms in it. Sorting serves to make that
+hash independent of order; here the terms' mixed hashes are combined by exclusive or, which has no order, so that Spark
+can aggregate them partially and no list is built. A text without a term of the lexicon fills no signature; the hash of all
+its terms stands behind the signatures instead, or the hash of the text itself if it is nothing but white space.
+The fingerprint is the list of signatures and that hash. Likeness is the share that agrees among those that either fills.
 
 The next document in ascending doc_id is found within ranges of doc_id; the first row of a range also stands, as a
 guest, at the end of the range before it, so no sort of all rows in one task is needed.
 
-Null texts count as empty: such a fingerprint has no filled signature; equal fingerprints have the likeness 1. Rows with
-a null doc_id come last; rows that repeat a doc_id follow in the order of their texts.
+Null texts count as empty. Only an empty text has a blank fingerprint; equal fingerprints have the likeness 1. Rows with a
+null doc_id come last; rows that repeat a doc_id follow in the order of their texts.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: subsets of a 64th of the lexicon for common texts, and of a 512th for long ones
+#: subsets of three 64ths of the lexicon for common texts, and of a 512th for long ones
 DENSE, SPARSE = 32, 32
-SUBSETS, DIGITS = DENSE + SPARSE, 4
+SUBSETS, DIGITS, WHOLE = DENSE + SPARSE, 4, 16
 BAND = (0.001, 0.02)
 BROADCAST = 1_000_000
 BLANK = "-" * DIGITS
@@ -47,21 +50,27 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 def signatures(rows: DataFrame, keys: list[str], text: str, lex: DataFrame) -> DataFrame:
     """keys and the fingerprint of the text column; rows with equal keys are taken as one text."""
     small = lex.count() <= BROADCAST
-    spread = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("term"))
+    has_word = F.col(text).rlike("[^\\x20\\x09-\\x0D]")
+    spread = rows.select(*keys, F.explode_outer(F.when(has_word, terms(F.col(text))).when(F.col(text) != "", F.array(F.xxhash64(text)))).alias("term"))
     known = lex.select("term", F.lit(True).alias("in_band"))
-    hit = spread.join(F.broadcast(known) if small else known, "term", "left").withColumn("h", F.when(F.col("in_band"), F.xxhash64("term", F.lit(7))))
-    deal = F.pmod(F.col("term"), F.lit(512)).cast("int")
-    hit = hit.withColumn("s", F.when(F.pmod(deal, F.lit(64)) < DENSE, F.pmod(deal, F.lit(64))).when(deal < 64, deal))
-    parts = [F.bit_xor(F.when(F.col("s") == j, F.col("h"))).alias(f"_{j}") for j in range(SUBSETS)]
+    hit = spread.join(F.broadcast(known) if small else known, "term", "left").withColumn("h", F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(7))))
+    # bits of the term's hash deal it out; what isn't in the lexicon is dealt nowhere
+    known_term = F.when(F.col("in_band"), F.col("term"))
+    hit = hit.withColumn("one", F.pmod(known_term, F.lit(DENSE))).withColumn("two", F.pmod(F.shiftright(known_term, 5), F.lit(2 * DENSE))).withColumn("far", F.pmod(F.shiftright(known_term, 11), F.lit(512)))
+    dense = [F.bit_xor(F.when((F.col("one") == j) | (F.col("two") == j), F.col("h"))).alias(f"_{j}") for j in range(DENSE)]
+    sparse = [F.bit_xor(F.when(F.col("far") == j, F.col("h"))).alias(f"_{DENSE + j}") for j in range(SPARSE)]
+    whole = [F.bit_xor("h").alias("_whole"), F.max("in_band").alias("_known")]
     shown = [F.when(F.col(f"_{j}").isNull(), BLANK).otherwise(F.lower(F.substring(F.lpad(F.hex(F.col(f"_{j}")), 16, "0"), 1, DIGITS))) for j in range(SUBSETS)]
-    return hit.groupBy(*keys).agg(*parts).select(*keys, F.concat(*shown).alias("fingerprint"))
+    shown.append(F.when(F.col("_known").isNull() & F.col("_whole").isNotNull(), F.lower(F.lpad(F.hex("_whole"), WHOLE, "0"))).otherwise("-" * WHOLE))
+    return hit.groupBy(*keys).agg(*dense, *sparse, *whole).select(*keys, F.concat(*shown).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of agreeing signatures among those that either fills; 1 for equal fingerprints."""
-    at = [(F.substring(a, DIGITS * j + 1, DIGITS), F.substring(b, DIGITS * j + 1, DIGITS)) for j in range(SUBSETS)]
-    filled = sum((F.when((x != BLANK) | (y != BLANK), 1).otherwise(0) for x, y in at), F.lit(0))
-    same = sum((F.when((x == y) & (x != BLANK), 1).otherwise(0) for x, y in at), F.lit(0))
+    slots = [(DIGITS * j + 1, DIGITS) for j in range(SUBSETS)] + [(DIGITS * SUBSETS + 1, WHOLE)]
+    at = [(F.substring(a, p, n), F.substring(b, p, n), "-" * n) for p, n in slots]
+    filled = sum((F.when((x != blank) | (y != blank), 1).otherwise(0) for x, y, blank in at), F.lit(0))
+    same = sum((F.when((x == y) & (x != blank), 1).otherwise(0) for x, y, blank in at), F.lit(0))
     return F.when(a == b, 1.0).otherwise(same / F.greatest(filled, F.lit(1)))
 
 
