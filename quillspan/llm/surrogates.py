@@ -5,7 +5,9 @@ pattern. Each distinct entity gets a keyed surrogate of its own type and format:
 letters of the same case and script, a mail address keeps its shape and top-level domain, an IP address stays one, a
 number keeps its country code and punctuation, a name gets a name of the title's gender and the same script. One entity
 has one surrogate in every document (coreference); surrogates are checked against each other and against all real
-entities, and the later of two that collide is drawn again until all are distinct.
+entities, and the later of two that collide is drawn again until all are distinct. With each draw a name gains a syllable
+and a mail address a letter before the @, and its host is drawn anew, so there are always enough of them. Numbers keep
+their digits: where the real ones leave too few of a format, ``ROUNDS`` draws end with an error.
 
 What is joined is spans, a row for each distinct entity, and only documents that hold any are put together again; others
 pass untouched. Null texts stay null. Rows that repeat doc_id and text are rewritten alike.
@@ -34,6 +36,9 @@ TITLE = r"^([^ ]+ )(.*)$"
 SHE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|г-жа)\b"
 SYLLABLES = {"latin": ("ba de fi ga ha jo ka li ma ne no pa ra ro sa ta ti va ve zo".split(), "a", "o"), "cyrillic": ("ба ве га до зи ка ле ли ма ми на но па ра ро са та ти ва зо".split(), "а", "н"), "greek": ("βα γε δι ζο θα κα λε λι μα μι να νο πα ρα ρο σα τα τι βα ξε".split(), "α", "ς")}
 
+#: syllables a name can gain, letters a mail address can, and draws
+LONGER_NAME, LONGER_MAIL, ROUNDS = 10, 32, 200
+
 
 def kind_of(m: Column) -> Column:
     return reduce(lambda acc, k: acc.when(m.rlike(f"^(?:{PATTERNS[k]})$"), k), list(PATTERNS)[1:], F.when(m.rlike(f"^(?:{PATTERNS['mail']})$"), "mail")).otherwise("other")
@@ -61,16 +66,21 @@ def _number(seed: Column, at: int, below: int) -> Column:
     return F.conv(F.substring(seed, at, 4), 16, 10).cast("int") % below
 
 
-def _name(m: Column, seed: Column) -> Column:
-    """Words of keyed syllables, the first ending by gender, in the script of the original."""
+def _name(m: Column, seed: Column, attempt: Column) -> Column:
+    """Words of keyed syllables, the first ending by gender and longer by a syllable an attempt, in the script of the original."""
 
     def word(script: str, at: int, end: Column) -> Column:
         got = F.array(*map(F.lit, SYLLABLES[script][0]))
         return F.initcap(F.concat(*(F.get(got, _number(seed, at + 4 * j, 20)) for j in range(3)), end))
 
+    def more(script: str) -> Column:
+        got = F.array(*map(F.lit, SYLLABLES[script][0]))
+        places = F.slice(F.array(*(F.lit(33 + 4 * j) for j in range(LONGER_NAME))), F.lit(1), F.least(attempt, F.lit(LONGER_NAME)))
+        return F.array_join(F.transform(places, lambda at: F.get(got, F.conv(F.substring(seed, at, F.lit(4)), 16, 10).cast("int") % 20)), "")
+
     def whole(script: str) -> Column:
         _, she, he = SYLLABLES[script]
-        first = word(script, 1, F.when(m.rlike(SHE), she).otherwise(he))
+        first = word(script, 1, F.concat(more(script), F.when(m.rlike(SHE), she).otherwise(he)))
         return F.when(m.rlike(r"^[^ ]+ [^ ]+ "), F.concat_ws(" ", first, word(script, 17, F.lit("")))).otherwise(first)
 
     return F.when(m.rlike(r"\p{IsCyrillic}"), whole("cyrillic")).when(m.rlike(r"\p{IsGreek}"), whole("greek")).otherwise(whole("latin"))
@@ -82,9 +92,11 @@ def surrogate(key: str, kind: Column, norm: Column, sample: Column, attempt: Col
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
-    mail = F.concat(_refill(local, seed), F.lit("@"), _refill(host, _stream(key, F.lit("host"), domain)), F.lit("."), tld)
+    longer = _refill(F.repeat(F.lit("x"), F.least(attempt, F.lit(LONGER_MAIL))), F.reverse(seed))
+    site = _refill(host, _stream(key, F.lit("host"), domain, F.when(attempt > 0, attempt.cast("string"))))
+    mail = F.concat(_refill(local, seed), longer, F.lit("@"), site, F.lit("."), tld)
     ip = F.concat_ws(".", *(F.when(F.lit(j > 0), _number(seed, 4 * j + 1, 256)).otherwise(_number(seed, 1, 223) + 1).cast("string") for j in range(4)))
-    return F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "name", _name(sample, seed)).otherwise(_refill(norm, seed))
+    return F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "name", _name(sample, seed, attempt)).otherwise(_refill(norm, seed))
 
 
 def placed(kind: Column, m: Column, drawn: Column) -> Column:
@@ -110,7 +122,7 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
     shown = F.concat(code, F.substring(F.col("drawn"), F.length(code) + 1, F.lit(1 << 20)))
     table = C.written(entities.withColumn("attempt", F.lit(0)).withColumn("drawn", drawn).withColumn("shown", shown), "surrogates")
     w = Window.partitionBy("kind", "shown").orderBy("attempt", "norm")
-    while True:
+    for _ in range(ROUNDS):
         real = table.select("kind", F.col("norm").alias("shown"), F.lit(True).alias("real"))
         clash = table.withColumn("n", F.row_number().over(w)).join(real, ["kind", "shown"], "left").where("n > 1 OR real").select("kind", "norm")
         clash = C.written(clash, "clashes")
@@ -118,6 +130,7 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
             return table.select("kind", "norm", "drawn")
         again = table.join(clash.withColumn("hit", F.lit(1)), ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0)))
         table = C.written(again.select("kind", "norm", "sample", "attempt").withColumn("drawn", drawn).withColumn("shown", shown), "surrogates")
+    raise RuntimeError(f"no distinct surrogates after {ROUNDS} draws: too few are left of some format")
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
