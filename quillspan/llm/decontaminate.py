@@ -2,8 +2,9 @@
 
 A seed is a fixed mask over consecutive words; words under its zeros don't enter the hash, so a substituted word spoils
 only the windows that look at it. Test hashes and training hashes are joined, and around every hit the two texts are laid
-side by side on the hit's diagonal: the best-scoring stretch (+1 for an equal word, -2 for a substituted one) has to hold
-at least ``min_match`` equal words, or all but a fifth of a shorter item, with four of five words equal.
+side by side on the hit's diagonal: of all stretches with four of five words equal (a sum of at least 0 at +1 for an equal
+word and -4 for a substituted one) the one with the most equal words has to hold at least ``min_match`` of them, or all but
+a fifth of a shorter item. Any such stretch has a hit: four words running are equal in it, or a spaced mask meets it.
 
 Test items are hashed in blocks of at most ``block_words`` words. A block is what a task holds, so its size is bounded
 whatever the benchmark's size, and each block meets all documents in one pass without a shuffle: the hash join runs where
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MASKS = ("11010011", "10111001", "11100101", "11001011")
-SPAN = 8
+MASKS = ("11010011", "10111001", "11100101", "11001011", "1111")
 RESULT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_copies", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_equal", pa.int64()), ("item_words", pa.int64())])
 EDGE = re.compile(r"^\W+|\W+$")
 
@@ -40,12 +40,14 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the highest sum of +1 and -2; the first and shortest of equals."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end
+    """Start and end of the stretch with the most equal words of all that have four of five equal, from the first to the last equal one."""
+    count = np.concatenate([[0], np.cumsum(equal)])
+    total = 5 * count - 4 * np.arange(len(count))
+    # for each end, the first start that leaves a sum of at least 0 holds the most equal words
+    first = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(count - count[first]))
+    inside = np.flatnonzero(equal[first[end] : end]) + first[end]
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
 class Block:
@@ -69,10 +71,10 @@ class Block:
 
     @staticmethod
     def seeds(ids: np.ndarray):
-        n = len(ids) - SPAN + 1
-        mult = C.odd(99, SPAN)
+        mult = C.odd(99, max(map(len, MASKS)))
         x = C.mix(ids.astype(C.U64))
         for m, mask in enumerate(MASKS):
+            n = len(ids) - len(mask) + 1
             if n <= 0:
                 yield np.empty(0, C.U64)
                 continue
@@ -92,14 +94,14 @@ class Block:
         """(item, start, end, equal) of each item's best verified overlap, in word coordinates of the document."""
         place = np.flatnonzero(numbers >= 0)
         ids = numbers[place]
-        if np.count_nonzero(ids) < 5:
+        if np.count_nonzero(ids) < 4:
             return []
         found: set[tuple[int, int]] = set()
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         for h, mask in zip(self.seeds(ids), MASKS, strict=True):
             if not len(h):
                 continue
-            at = np.flatnonzero(self.may[(h >> C.U64(42)).astype(np.int64)] & (known[SPAN:] - known[:-SPAN] >= 5))
+            at = np.flatnonzero(self.may[(h >> C.U64(42)).astype(np.int64)] & (known[len(mask) :] - known[: -len(mask)] >= mask.count("1")))
             if not len(at):
                 continue
             lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
@@ -110,9 +112,12 @@ class Block:
             item = self.items[k][2]
             lo, hi = max(0, -diagonal), min(len(item), len(ids) - diagonal)
             equal = item[lo:hi] == ids[lo + diagonal : hi + diagonal]
+            need = max(min(min_match, -(-4 * len(item) // 5)), best.get(k, (0, 0, 0))[2] + 1)
+            if np.count_nonzero(equal) < need:
+                continue
             s, e = best_stretch(equal)
             n = int(equal[s:e].sum())
-            if n >= min(min_match, -(-4 * len(item) // 5)) and 5 * n >= 4 * (e - s) and n > best.get(k, (0, 0, 0))[2]:
+            if n >= need:
                 best[k] = (int(place[s + lo + diagonal]), int(place[e - 1 + lo + diagonal]) + 1, n)
         return [(k, *v) for k, v in best.items()]
 
