@@ -10,11 +10,11 @@ expected number of toxic tokens; a logistic curve over those, fitted on the same
 the runs of tokens whose marginal is at least one half.
 
 Tokens without a feature all have the same factor, so a run of them is one power of a 2x2 matrix: the chain is exact and
-costs a step for each token that has a feature.
+costs a step for each token that has a feature. The fit does the same: it sees each text from its first token to its last.
 
-The fit sees at most ``sample`` labelled rows (those with the smallest hashes of doc_id), whatever the input's size; the
-score uses the text alone. Null and empty texts get the score of a text without toxic tokens. Labels that are null are
-passed over; without labels of both kinds every score is 0.
+The fit sees at most ``sample`` labelled rows (those with the smallest hashes of doc_id), whatever the input's size, and
+has no other bound; the score uses the text alone. Null and empty texts get the score of a text without toxic tokens. Labels that are null are
+passed over; without labels of both kinds, or without a word strong enough to be labelled toxic, every score is 0.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .decontaminate import plain
 
 SAMPLE = 20_000
 FEATURES = 20_000
-WINDOW, CHAINS = 64, 4_000
+STRONG = 3
 BEGINNINGS = (4, 5, 6)
 FAR = 2048
 RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("top_marginal", pa.float64()), ("expected_toxic", pa.float64()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
@@ -145,35 +145,102 @@ def spans(text: str, at: np.ndarray, p: np.ndarray) -> tuple[list[int], list[int
     return starts, ends
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions for chains x (n, length, values), labels y and mask (n, length), by Adam on the likelihood."""
-    n, length, values = x.shape
+def gap_powers(gaps: np.ndarray, step: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """step to the power of each gap, and its derivatives for the slopes of step; each pair has a scale of its own."""
+    out, d_out = np.broadcast_to(np.eye(2), (len(gaps), 2, 2)), np.zeros((len(gaps), len(slope), 2, 2))
+    left = gaps.copy()
+    while left.any():
+        odd = left % 2 == 1
+        d_out = np.where(odd[:, None, None, None], d_out @ step + out[:, None] @ slope, d_out)
+        out = np.where(odd[:, None, None], out @ step, out)
+        scale = out.sum((1, 2))
+        out, d_out = out / scale[:, None, None], d_out / scale[:, None, None, None]
+        slope, step = slope @ step + step @ slope, step @ step
+        slope, step = slope / step.sum(), step / step.sum()
+        left = left // 2
+    return out, d_out
+
+
+def fit_chain(chains: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by Adam on the likelihood of whole texts.
+
+    A chain is the number of its tokens (1 at least), the places of tokens with features, their values and their labels;
+    all other tokens have the label 0. Runs of them are powers of one matrix, so a round costs a step for each feature.
+    """
+    chains = sorted(chains, key=lambda c: (-len(c[1]), c[0], c[1].tobytes(), c[2].tobytes(), c[3].tobytes()))
+    n, tokens = np.array([c[0] for c in chains]), np.array([len(c[1]) for c in chains])
+    full, longest = int((tokens > 0).sum()), int(tokens[0])
+    # feature k of every chain that has one stands in rows[k]: chains are in descending order of their features
+    active = [int((tokens > k).sum()) for k in range(longest)]
+    rows = [slice(o, o + a) for o, a in zip(np.cumsum([0, *active[:-1]]).tolist(), active, strict=True)]
+    at = np.concatenate([[c[1][k] for c in chains[:a]] for k, a in enumerate(active)]).astype(np.int64)
+    x = np.concatenate([[c[2][k] for c in chains[:a]] for k, a in enumerate(active)])
+    y = np.concatenate([[c[3][k] for c in chains[:a]] for k, a in enumerate(active)]).astype(float)
+    before = np.concatenate([np.arange(r.start, r.stop) - p for r, p in zip(rows[1:], active, strict=False)]).astype(np.int64) if longest > 1 else np.empty(0, np.int64)
+    later = np.arange(active[0], len(at))
+    start = np.cumsum([0, *active])
+    last = np.array([start[k - 1] + i for i, k in enumerate(tokens[:full].tolist())])
+    # gaps: before the first feature, between two, after the last; chains without one are a first token and a gap
+    gaps = np.concatenate([np.maximum(at[: active[0]] - 1, 0), at[later] - at[before] - 1, n[:full] - 1 - at[last], n[full:] - 1])
+    kinds, which = np.unique(gaps, return_inverse=True)
+    lead, middle, tail, bare = np.split(which, np.cumsum([active[0], len(later), full]))
+    inner = at[: active[0]] > 0
+
+    values, total = x.shape[1], int(n.sum())
+    seen_w = np.concatenate([[y.sum()], y @ x])
+    near = at[later] - at[before] == 1
+    both = float((near * y[later] * y[before]).sum())
+    into, out_of = float((y * (at > 0)).sum()) - both, float(y.sum() - (y[last] * (at[last] == n[:full] - 1)).sum()) - both
+    seen_t = np.array([float((n - 1).sum()) - into - out_of - both, into, out_of, both])
     theta = np.concatenate([[-2.0], np.full(values, 0.3), np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    pair = mask[:, 1:] & mask[:, :-1]
-    seen_w = np.concatenate([[(y * mask).sum()], (x * (y * mask)[..., None]).sum((0, 1))])
-    seen_t = np.array([[(pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    total = max(1, mask.sum())
+
+    def shares(left, d, base, right, groups):
+        """Derivatives of the log of left @ base @ right, summed over the rows of groups."""
+        z = np.einsum("ni,nij,nj->n", left, base[groups], right)
+        weight = [[np.bincount(groups, left[:, i] * right[:, j] / z, len(base)) for j in (0, 1)] for i in (0, 1)]
+        return np.einsum("gkij,ijg->k", d, np.array(weight))
+
     for step in range(1, rounds + 1):
         w, t = theta[: 1 + values], theta[1 + values :].reshape(2, 2)
-        force = np.ones((n, length, 2))
-        force[..., 1] = np.exp(np.clip(w[0] + x @ w[1:], -40, 40))
-        force[~mask] = 1.0
-        move = np.exp(t)
-        a, b = np.zeros((n, length, 2)), np.ones((n, length, 2)) / 2
-        a[:, 0] = force[:, 0] / force[:, 0].sum(1, keepdims=True)
-        for i in range(1, length):
-            z = (a[:, i - 1] @ move) * force[:, i]
-            a[:, i] = np.where(mask[:, i, None], z / z.sum(1, keepdims=True), a[:, i - 1])
-        for i in range(length - 2, -1, -1):
-            z = (force[:, i + 1] * b[:, i + 1]) @ move.T
-            b[:, i] = np.where(mask[:, i + 1, None], z / z.sum(1, keepdims=True), b[:, i + 1])
+        move, calm = np.exp(t), np.array([1.0, np.exp(np.clip(w[0], -40, 40))])
+        d_move = np.zeros((5, 2, 2))
+        for k in range(4):
+            d_move[k + 1, k // 2, k % 2] = move[k // 2, k % 2]
+        d_calm = np.zeros((5, 2))
+        d_calm[0, 1] = calm[1]
+        power, d_power = gap_powers(kinds, move * calm, d_move * calm + move * d_calm[:, None, :])
+        hop, d_hop = power @ move, d_power @ move + power[:, None] @ d_move
+        force = np.ones((len(at), 2))
+        force[:, 1] = np.exp(np.clip(w[0] + x @ w[1:], -40, 40))
+        a, b = np.empty((len(at), 2)), np.empty((len(at), 2))
+        a[rows[0]] = np.where(inner[:, None], np.einsum("i,nij->nj", calm, hop[lead]), 1.0) * force[rows[0]]
+        a[rows[0]] /= a[rows[0]].sum(1, keepdims=True)
+        for k in range(1, longest):
+            r = rows[k]
+            z = np.einsum("ni,nij->nj", a[rows[k - 1]][: active[k]], hop[middle[r.start - active[0] : r.stop - active[0]]]) * force[r]
+            a[r] = z / z.sum(1, keepdims=True)
+        b[last] = power[tail].sum(2)
+        for k in range(longest - 1, 0, -1):
+            r = rows[k]
+            z = np.einsum("nij,nj->ni", hop[middle[r.start - active[0] : r.stop - active[0]]], force[r] * b[r])
+            b[rows[k - 1].start : rows[k - 1].start + active[k]] = z / z.sum(1, keepdims=True)
         p = a * b
-        p = p / p.sum(2, keepdims=True)
-        q = a[:, :-1, :, None] * move * (force[:, 1:] * b[:, 1:])[:, :, None, :]
-        q = q / q.sum((2, 3), keepdims=True) * pair[..., None, None]
-        hot = p[..., 1] * mask
-        grad = np.concatenate([seen_w - np.concatenate([[hot.sum()], (x * hot[..., None]).sum((0, 1))]), (seen_t - q.sum((0, 1))).ravel()]) / total * 50 - decay * theta
+        hot = p[:, 1] / p.sum(1)
+        fb = force * b
+        rest = shares(a[before], d_hop, hop, fb[later], middle)
+        ones = np.ones((len(n), 2))
+        rest = rest + shares(a[last], d_power, power, ones[:full], tail)
+        first = np.broadcast_to(calm, (len(n), 2))
+        rest = rest + shares(first[: int(inner.sum())], d_hop, hop, fb[rows[0]][inner], lead[inner])
+        rest = rest + shares(first[full:], d_power, power, ones[full:], bare)
+        # the first token of a text, where it has no feature
+        z = np.einsum("nij,nj->ni", hop[lead[inner]], fb[rows[0]][inner])
+        rest[0] += (z[:, 1] * calm[1] / (z @ calm)).sum()
+        z = power[bare].sum(2)
+        rest[0] += (z[:, 1] * calm[1] / (z @ calm)).sum()
+        want = np.concatenate([[hot.sum() + rest[0]], hot @ x, rest[1:]])
+        grad = (np.concatenate([seen_w, seen_t]) - want) / total * 50 - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate / (1 + step / 50) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[: 1 + values], theta[1 + values :].reshape(2, 2)
@@ -247,22 +314,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 num = tag.number((t.as_py() or "").encode("utf-8", "surrogatepass").split())
                 at = np.flatnonzero(num)
-                lo = max(0, int(at[0]) - 8) if len(at) else 0
-                part = num[lo : lo + WINDOW]
-                if len(part):
-                    out.append({"y": int(y > 0), "x": np.concatenate([tag.values[k] for k in part.tolist()])})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))]))
-
-    got = rows.orderBy(F.xxhash64("text"), "toxic").limit(CHAINS).mapInArrow(chains, "y int, x array<double>").collect()
-    wide = 1 + len(BEGINNINGS)
-    x, mask, y = np.zeros((len(got), WINDOW, wide)), np.zeros((len(got), WINDOW), bool), np.zeros((len(got), WINDOW), int)
-    for i, r in enumerate(got):
-        v = np.array(r["x"]).reshape(-1, wide)
-        x[i, : len(v)], mask[i, : len(v)] = v, True
-        y[i, : len(v)] = r["y"] * (v.max(axis=1) >= 3)
-    if not y.any():
+                if len(num):
+                    out.append({"y": int(y > 0), "n": len(num), "at": at.tolist(), "x": np.concatenate([tag.values[k] for k in num[at].tolist()]) if len(at) else []})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))]))
+
+    got = []
+    for r in rows.mapInArrow(chains, "y int, n long, at array<long>, x array<double>").toLocalIterator():
+        v = np.array(r["x"], float).reshape(-1, 1 + len(BEGINNINGS))
+        got.append((r["n"], np.array(r["at"], np.int64), v, r["y"] * (v >= STRONG).any(axis=1)))
+    if not any(c[3].any() for c in got):
         return Model()
-    model.weights, model.trans = fit_chain(x, y, mask)
+    model.weights, model.trans = fit_chain(got)
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches):
