@@ -18,6 +18,7 @@ reported.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +123,8 @@ class Block:
         return [(k, *v) for k, v in best.items()]
 
 
-_BLOCKS: dict[int, tuple[Block, dict[bytes, int]]] = {}
+#: by a name of each block and call: other items may have the same ids
+_BLOCKS: dict[str, tuple[Block, dict[bytes, int]]] = {}
 
 
 def _search(shared, min_match: int):
@@ -166,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
         block = [(r.item_id, r.copies, bytes(r.words).split(b" ")) for r in rows]
         if not block and blocks > 1:
             continue
-        shared = spark.sparkContext.broadcast((hash((k, blocks, len(block), tuple(i for i, _, _ in block))), block))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         found = docs.mapInArrow(_search(shared, min_match), C.schema(RESULT))
         out = found if out is None else out.unionByName(found)
     return out

@@ -40,3 +40,12 @@ def test_exact_run_beside_weaker_words():
     equal = np.array([True] * 13 + ([False] * 2 + [True] * 5) * 5)
     s, e = decontaminate.best_stretch(equal)
     assert equal[s:e].sum() >= 13 and 5 * equal[s:e].sum() >= 4 * (e - s)
+
+
+def test_same_ids_and_other_texts(spark):
+    """A second benchmark in the same session is searched as itself."""
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for k, t in enumerate(texts):
+        bench = spark.createDataFrame([(0, t)], "item_id long, text string")
+        assert [r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()] == [k]
