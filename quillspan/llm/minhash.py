@@ -1,19 +1,26 @@
 """Near-duplicate groups by min-max hashing.
 
 Under each permutation both the smallest and the largest value of a document's shingle set are kept, so P permutations
-give 2P unbiased agreements for P hash evaluations a shingle. Bands take two permutations, smallest and largest of each:
-four agreements. With 32 bands a pair at a similarity of 0.8 is missed with a chance of (1 - 0.8^4)^32 = 5e-8.
+give 2P unbiased agreements for P hash evaluations a shingle. A band is a fixed random choice of ``ROWS`` of these lanes.
+With 64 bands of six of 128 lanes a pair at a similarity of 0.8 shares no band with a chance of about 4e-6; one at 0.3
+shares one with a chance of 5 in 100, so common passages seldom bring documents together.
 
-Equal sets are one class, whatever their number. In each band bucket every class is first compared with the one that
-meets most others; a class that ended in another component than the bucket's main one is then compared with all of the
-bucket that is not yet in its component, first where the sketches look most alike, then wherever they leave a similarity
-of the threshold possible (six standard deviations). So a bucket of n true near-copies costs about n comparisons rather
-than n^2, while any two classes that share a bucket and are not yet connected have been compared: no link between
-components is lost. Candidates are confirmed on their full sets.
+Equal sets are one class, whatever their number. In each band bucket every class is compared, on full sets, with the one
+that meets most others (the hub): about one comparison a class, not one a pair. For a while the classes left over get a
+further hub of their own each round. What is still apart then is settled exactly, without pairing all: of each class only
+its difference from the hub is looked at. Two sets A and B are linked if their differences DA and DB share enough,
+
+    |DA and DB| >= (|DA| - q|A| + |DB| - q|B|) / 2        with q = (100 - percent) / (100 + percent),
+
+and a class that isn't linked with its hub has |DA| - q|A| > q|hub|, so there is always something to share: what differs
+from the hub in an order of its own (words that the hub hasn't first), cut to the prefix that a link can't do without,
+is joined, and a bit map bounds the overlap within the join. Any two classes that share a bucket and are not connected
+have been compared in this way: no link between components is lost. Where very many classes lie close under the
+threshold of each other, the join still weighs many of them, but emits links alone.
 
 Nulls: null and empty texts have no shingles and are linked with nothing. A text of fewer words than a shingle is one
 shingle. Rows with a null doc_id take no part in links and are kept. Rows that repeat a doc_id are one document, linked
-where any of its texts is.
+where any of its texts is. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +34,13 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import connected_components
 
-PERMS, BANDS = 64, 32
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
+PERMS, BANDS, ROWS = 64, 64, 6
+#: rounds of further hubs before what is left is settled by differences
+HUB_ROUNDS = 3
+#: 64-bit words of the map of a difference
+MAP = 8
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+COMPARED = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("delta", pa.list_(pa.int64())), ("map", pa.list_(pa.int64()))])
 
 
 def shingle_set(text: str | None, n: int, memo: C.WordHash, mult: np.ndarray) -> np.ndarray:
@@ -42,9 +54,14 @@ def shingle_set(text: str | None, n: int, memo: C.WordHash, mult: np.ndarray) ->
     return np.unique(C.windows(h, n, mult))
 
 
+def band_lanes() -> list[np.ndarray]:
+    """The lanes of each band: the same choice in every run."""
+    return [np.argsort(C.mix(np.arange(2 * PERMS, dtype=C.U64) + C.U64(1 + k * 2 * PERMS)))[:ROWS] for k in range(BANDS)]
+
+
 def _sign(n: int):
     a, b = C.odd(31, PERMS), C.mix(np.arange(PERMS, dtype=C.U64) + C.U64(77))
-    salt = C.mix(np.arange(1, BANDS + 1, dtype=C.U64))
+    salt, chosen = C.mix(np.arange(1, BANDS + 1, dtype=C.U64)), band_lanes()
 
     def sign(batches):
         memo, mult = C.WordHash(), C.odd(5, n)
@@ -64,48 +81,73 @@ def _sign(n: int):
                         sig[2 * p] = np.minimum.reduceat(x, at)
                         sig[2 * p + 1] = np.maximum.reduceat(x, at)
                 keys = np.zeros((BANDS, len(full)), C.U64)
-                for k in range(BANDS):
-                    for r in range(4):
-                        keys[k] = C.mix(keys[k] * C.U64(0x9E3779B97F4A7C15) + sig[4 * k + r])
+                for k, lanes in enumerate(chosen):
+                    for lane in lanes:
+                        keys[k] = C.mix(keys[k] * C.U64(0x9E3779B97F4A7C15) + sig[lane])
                     keys[k] = C.mix(keys[k] + salt[k])
-                sketch = (C.mix(sig) >> C.U64(56)).astype(np.uint8)
-                bands, lanes = [[] for _ in sets], [[] for _ in sets]
+                bands = [[] for _ in sets]
                 for j, i in enumerate(full):
                     bands[i] = keys[:, j].view(np.int64)
-                    lanes[i] = np.ascontiguousarray(sketch[:, j]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lanes, pa.list_(pa.int64()))], schema=SIGNED)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=SIGNED)
 
     return sign
 
 
-def _equal_bytes(x: Column, y: Column) -> Column:
-    """How many of the 128 bytes in 16 lanes are equal: differing bits fold into the lowest bit of each byte."""
-
-    def differing(i: int) -> Column:
-        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
-        for k in (4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+def _compare(n: int, percent: int):
+    """Whether hub and class are linked, and what they differ in: first what the hub hasn't, then what it alone has."""
 
-    lanes = 2 * PERMS // 8
-    return 2 * PERMS - sum((differing(i) for i in range(1, lanes)), differing(0))
-
-
-def _confirm(n: int, percent: int):
-    def confirm(batches):
+    def compare(batches):
         memo, mult = C.WordHash(), C.odd(5, n)
-        last, mine = object(), np.empty(0, C.U64)
+        last, centre = object(), np.empty(0, C.U64)
         for batch in batches:
-            keep = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, mine = a, shingle_set(ta.as_py(), n, memo, mult)
-                other = shingle_set(tb.as_py(), n, memo, mult)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
+            out = []
+            for hub, rep, th, tr in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if hub != last:
+                    last, centre = hub, shingle_set(th.as_py(), n, memo, mult)
+                mine = shingle_set(tr.as_py(), n, memo, mult)
+                delta = np.concatenate([np.setdiff1d(mine, centre, True), np.setdiff1d(centre, mine, True)])
+                either = (len(mine) + len(centre) + len(delta)) // 2
+                linked = 100 * (either - len(delta)) >= percent * either
+                bits = np.zeros(64 * MAP, np.uint8)
+                bits[(delta % C.U64(64 * MAP)).astype(np.int64)] = 1
+                out.append((hub, rep, linked, len(mine), len(delta), delta.view(np.int64), np.packbits(bits).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), COMPARED, strict=True)] if out else [pa.array([], f.type) for f in COMPARED], schema=COMPARED)
+
+    return compare
+
+
+def _joined(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """rep, comp with the components that edges (a, b) tie made one: only components are walked, not their members."""
+    a, b = (comps.select(F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    between = edges.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("ca <> cb").select("ca", "cb").distinct()
+    merged = connected_components(between, "ca", "cb")
+    return C.written(comps.join(merged.hint("merge"), comps.comp == merged.node, "left").select("rep", F.coalesce("component", "comp").alias("comp")), "components")
+
+
+def _settled(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one hub that are in different components, found by what differs from the hub."""
+    own, hubs = comps.select("rep", "comp"), comps.select(F.col("rep").alias("hub"), F.col("comp").alias("main"))
+    scale, slack = 100 + percent, 100 - percent
+    placed = compared.join(own.hint("merge"), "rep").join(hubs.hint("merge"), "hub").select("hub", "rep", "comp", (F.col("comp") != F.col("main")).alias("odd"), "n", "size", "delta", "map", (scale * F.col("size") - slack * F.col("n")).alias("w"))
+    placed = C.written(placed, "placed")
+    low = placed.groupBy("hub").agg(F.min("w").alias("low"), F.min(F.when(F.col("odd"), F.col("w"))).alias("low_odd")).where("low_odd IS NOT NULL")
+    sides = C.written(placed.join(low.hint("merge"), "hub"), "sides")
+
+    def prefixes(rows: DataFrame, low: str, names: str) -> DataFrame:
+        need = F.ceil((F.col("w") + F.col(low)) / F.lit(2.0 * scale) - 1e-9)
+        cut = (F.col("size") - F.greatest(need, F.lit(1)) + 1).cast("int")
+        return rows.where(cut > 0).select("hub", *(F.col(c).alias(c + names) for c in ("rep", "comp", "odd", "n", "size", "map", "w")), F.explode(F.slice("delta", F.lit(1), cut)).alias("e"))
+
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(1, MAP)), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
+
+    left, right = prefixes(sides, "low_odd", "1"), prefixes(sides.where("odd"), "low", "2")
+    most = F.least(F.col("size1") - lacking("map1", "map2"), F.col("size2") - lacking("map2", "map1"))
+    possible = F.expr(f"comp1 <> comp2 AND (NOT odd1 OR rep1 < rep2) AND 100 * least(n1, n2) >= {percent} * greatest(n1, n2)") & (2 * scale * most >= F.col("w1") + F.col("w2"))
+    met = left.join(right.hint("merge"), (left.hub == right.hub) & (left.e == right.e) & possible).select(left.hub, "rep1", "rep2").distinct()
+    a, b = (sides.select("hub", F.col("rep").alias(f"rep{k}"), F.col("delta").alias(f"delta{k}"), F.col("w").alias(f"w{k}")) for k in (1, 2))
+    both = C.written(met, "met").join(a.hint("merge"), ["hub", "rep1"]).join(b.hint("merge"), ["hub", "rep2"])
+    return both.where(2 * scale * F.size(F.array_intersect("delta1", "delta2")) >= F.col("w1") + F.col("w2")).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -115,50 +157,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = C.written(classes, "classes")
     members = signed.join(classes, "digest").select("doc_id", "rep").distinct()
-    reps = C.written(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "lanes"), "reps")
-    spread = reps.select("rep", "n", F.explode("bands").alias("key"))
+    spread = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    spread = C.written(spread, "bands")
     shared = C.written(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     bucketed = C.written(spread.join(shared.hint("merge"), "key"), "bucketed")
-    # of a group of copies the original meets most others: it makes the best centre
-    drawn = bucketed.groupBy("rep").agg(F.sum("size").alias("drawn"))
-    hubs = bucketed.join(drawn, "rep").groupBy("key").agg(F.max_by("rep", F.struct("drawn", -F.col("rep"))).alias("hub"))
-    hubs = C.written(hubs, "hubs")
+    C.dropped(spread)
+    # of a group of copies the original meets most others: it makes the best hub
+    drawn = C.written(bucketed.groupBy("rep").agg(F.sum("size").alias("drawn")), "drawn")
+    bucketed = C.written(bucketed.join(drawn.hint("merge"), "rep").select("key", "rep", "drawn"), "bucketed")
+    first = F.max_by("rep", F.struct("drawn", -F.col("rep")))
+    hubs = C.written(bucketed.groupBy("key").agg(first.alias("hub")), "hubs")
     # texts move once, whatever the rounds; the hint keeps the plan the same at every size
     texts = C.written(docs.join(drawn.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
-    sides = reps.select("rep", "n", "lanes")
-    floor = percent / 100
-    safe = int(2 * PERMS * floor - 6 * (2 * PERMS * floor * (1 - floor)) ** 0.5)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        full = tb.join(pairs.hint("merge"), "b").join(ta.hint("merge"), "a").select("a", "b", "ta", "tb")
-        return C.written(full.mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "edges")
-
-    def hopeful(least_equal: int, n1: str, n2: str, x: str, y: str) -> Column:
-        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})") & (_equal_bytes(F.col(x), F.col(y)) >= least_equal)
-
-    pairs = bucketed.join(hubs.hint("merge"), "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    a, b = (sides.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("lanes").alias(f"x{k}")) for k in "ab")
-    tried = C.written(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(hopeful(safe, "na", "nb", "xa", "xb")).select("a", "b"), "tried")
-    edges = verified(tried)
-    # first the pairs that look most alike, so that few are left for the round that leaves none out
-    for least_equal in (int(2 * PERMS * (floor + 0.05)), safe):
-        comps = C.written(connected_components(edges, "a", "b"), "components")
-        placed = bucketed.join(comps.hint("merge"), bucketed.rep == comps.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        placed = C.written(placed, "placed")
-        mixed = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        several = C.written(placed.join(mixed.select("key", "main").hint("merge"), "key").join(sides.hint("merge"), "rep"), "several")
-        odd = several.where("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("lanes").alias("y"))
-        cross = several.join(odd.hint("merge"), (several.key == odd.key) & (F.col("comp") != F.col("c")) & hopeful(least_equal, "n", "m", "lanes", "y"))
-        cross = cross.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
-        both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        cross = C.written(cross.join(both_ways, ["a", "b"], "left_anti"), "cross")
-        edges = C.written(edges.unionByName(verified(cross)), "edges")
-        tried = C.written(tried.unionByName(cross), "tried")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        th, tr = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in ("hub", "rep"))
+        full = tr.join(pairs.hint("merge"), "rep").join(th.hint("merge"), "hub").select("hub", "rep", "thub", "trep")
+        return C.written(full.mapInArrow(_compare(words, percent), C.schema(COMPARED)), "compared")
+
+    first_hubs = compared(bucketed.join(hubs.hint("merge"), "key").where("rep <> hub").select("hub", "rep").distinct())
+    links = lambda found: found.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    comps = _joined(drawn.select("rep", F.col("rep").alias("comp")), links(first_hubs))
+    left = bucketed.join(hubs.hint("merge"), "key").select("key", "rep", "drawn", "hub")
+    for _ in range(HUB_ROUNDS):
+        # what its bucket's hubs have not drawn in gets a hub of its own
+        main = comps.select(F.col("rep").alias("hub"), F.col("comp").alias("main"))
+        left = C.written(left.join(comps.hint("merge"), "rep").join(main.hint("merge"), "hub").where("comp <> main").select("key", "rep", "drawn", "comp"), "left")
+        hubs = left.groupBy("key").agg(first.alias("hub"), F.max_by("comp", F.struct("drawn", -F.col("rep"))).alias("main"))
+        left = left.join(hubs.hint("merge"), "key")
+        pairs = C.written(left.where("comp <> main").select("hub", "rep").distinct(), "pairs")
+        left = left.select("key", "rep", "drawn", "hub")
+        if pairs.isEmpty():
+            break
+        found = links(compared(pairs))
+        if found.isEmpty():
+            break
+        comps = _joined(comps, found)
+    comps = _joined(comps, _settled(first_hubs, comps, percent))
     # a doc_id whose rows are in several classes ties these together
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
-    tied = members.join(several, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(edges.unionByName(tied), "a", "b")
-    named = members.join(final, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("doc_id", "a")
+    tied = C.written(members.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")), "tied")
+    if not tied.isEmpty():
+        lone = classes.select("rep").join(comps, "rep", "left_anti").select("rep", F.col("rep").alias("comp"))
+        comps = _joined(comps.unionByName(lone), tied)
+    named = members.join(comps, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
