@@ -1,4 +1,9 @@
-"""A search's time limit: its jobs are cancelled together and what they had is dropped."""
+"""A search's time limit: its jobs are cancelled together and what they had is dropped.
+
+A cancelled task ends where it next asks for rows: of a file (a batch), a cached table, a shuffle or a Python worker. That
+frees its cores soon, as every search reads one of these. Rows made by ``spark.range`` alone ask nothing, and such a
+task runs to its end.
+"""
 
 from __future__ import annotations
 
@@ -30,4 +35,5 @@ def collected_within(frame: DataFrame, seconds: float) -> list:
         raise
     finally:
         timer.cancel()
-        sc.setLocalProperty("spark.jobGroup.id", None)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(name, None)

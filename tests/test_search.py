@@ -295,10 +295,19 @@ def test_analysis_chains(spark):
         Chain({"language": "xx"})
 
 
-def test_deadline(spark):
+def test_deadline(spark, tmp_path):
+    import time
+
     from quillspan.plans.deadline import collected_within
 
     assert len(collected_within(spark.range(3).toDF("x"), 60)) == 3
-    slow = spark.range(0, 10**12, 1, 4).agg(F.max(F.sha2(F.col("id").cast("string"), 512)))
+    # about a millisecond a row, read from a file as a search's rows are
+    spark.range(0, 400_000, 1, 4).write.parquet(str(tmp_path / "rows"))
+    costly = F.aggregate(F.sequence(F.lit(1), F.lit(20_000)), F.col("id"), lambda a, x: (a * 31 + x) % 1_000_003)
+    slow = spark.read.parquet(str(tmp_path / "rows")).agg(F.max(costly))
     with pytest.raises(EngineError, match="timeout"):
         collected_within(slow, 2)
+    # the cores are free again
+    began = time.monotonic()
+    assert spark.range(0, 1000, 1, 4).agg(F.sum("id")).first()[0] == 499_500
+    assert time.monotonic() - began < 60
