@@ -59,8 +59,23 @@ def band_lanes() -> list[np.ndarray]:
     return [np.argsort(C.mix(np.arange(2 * PERMS, dtype=C.U64) + C.U64(1 + k * 2 * PERMS)))[:ROWS] for k in range(BANDS)]
 
 
-def _sign(n: int):
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Smallest and largest value of each set (none empty) under each permutation: a row a lane."""
     a, b = C.odd(31, PERMS), C.mix(np.arange(PERMS, dtype=C.U64) + C.U64(77))
+    sig = np.zeros((2 * PERMS, len(sets)), C.U64)
+    if sets:
+        flat = np.concatenate(sets)
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+        for p in range(PERMS):
+            x = flat * a[p] + b[p]
+            x ^= x >> C.U64(32)
+            x *= a[-1 - p]
+            sig[2 * p] = np.minimum.reduceat(x, at)
+            sig[2 * p + 1] = np.maximum.reduceat(x, at)
+    return sig
+
+
+def _sign(n: int):
     salt, chosen = C.mix(np.arange(1, BANDS + 1, dtype=C.U64)), band_lanes()
 
     def sign(batches):
@@ -70,16 +85,7 @@ def _sign(n: int):
                 part = batch.slice(lo, 256)
                 sets = [shingle_set(t.as_py(), n, memo, mult) for t in part.column(1)]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig = np.zeros((2 * PERMS, len(full)), C.U64)
-                if full:
-                    flat = np.concatenate([sets[i] for i in full])
-                    at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-                    for p in range(PERMS):
-                        x = flat * a[p] + b[p]
-                        x ^= x >> C.U64(32)
-                        x *= a[-1 - p]
-                        sig[2 * p] = np.minimum.reduceat(x, at)
-                        sig[2 * p + 1] = np.maximum.reduceat(x, at)
+                sig = signatures([sets[i] for i in full])
                 keys = np.zeros((BANDS, len(full)), C.U64)
                 for k, lanes in enumerate(chosen):
                     for lane in lanes:
@@ -131,6 +137,7 @@ def _settled(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     placed = compared.join(own.hint("merge"), "rep").join(hubs.hint("merge"), "hub").select("hub", "rep", "comp", (F.col("comp") != F.col("main")).alias("odd"), "n", "size", "delta", "map", (scale * F.col("size") - slack * F.col("n")).alias("w"))
     placed = C.written(placed, "placed")
     low = placed.groupBy("hub").agg(F.min("w").alias("low"), F.min(F.when(F.col("odd"), F.col("w"))).alias("low_odd")).where("low_odd IS NOT NULL")
+    low = C.written(low, "low")
     sides = C.written(placed.join(low.hint("merge"), "hub"), "sides")
 
     def prefixes(rows: DataFrame, low: str, names: str) -> DataFrame:
@@ -183,7 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         # what its bucket's hubs have not drawn in gets a hub of its own
         main = comps.select(F.col("rep").alias("hub"), F.col("comp").alias("main"))
         left = C.written(left.join(comps.hint("merge"), "rep").join(main.hint("merge"), "hub").where("comp <> main").select("key", "rep", "drawn", "comp"), "left")
-        hubs = left.groupBy("key").agg(first.alias("hub"), F.max_by("comp", F.struct("drawn", -F.col("rep"))).alias("main"))
+        hubs = C.written(left.groupBy("key").agg(first.alias("hub"), F.max_by("comp", F.struct("drawn", -F.col("rep"))).alias("main")), "hubs")
         left = left.join(hubs.hint("merge"), "key")
         pairs = C.written(left.where("comp <> main").select("hub", "rep").distinct(), "pairs")
         left = left.select("key", "rep", "drawn", "hub")

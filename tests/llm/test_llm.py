@@ -132,19 +132,58 @@ def test_near_duplicates_awkward(docs, empty, extra):
     assert minhash.near_duplicates(extra).count() == 2
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_near_duplicates_around_a_hub(spark, monkeypatch, rounds):
+    """Copies of one text just above and below the threshold, and copies of these: differences settle what hubs leave."""
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+    r = random.Random(11)
+    base, rows = prose(100, r).split(), []
+    for i in range(150):
+        ws = list(base)
+        for _ in range(r.choice([2, 5, 7, 8, 9, 10, 12])):
+            ws[r.randrange(len(ws))] = r.choice(VOCAB) + r.choice(VOCAB)
+        rows.append((3 * i, " ".join(ws)))
+        if i % 3 == 0:
+            ws[r.randrange(len(ws))] = r.choice(VOCAB)
+            rows.append((3 * i + 1, " ".join(ws)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, DOC), 2).collect()}
+    want = brute_groups(rows, 2)
+    assert got == want
+    assert 5 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """A doc_id whose rows are of two classes ties these together."""
+    r = random.Random(13)
+    a, b, c = prose(50, r), prose(50, r), prose(50, r)
+    rows = [(5, a), (7, a), (7, b), (9, b), (9, b), (4, c)]
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect())
+    assert got == [(4, 4, True), (5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False), (9, 5, False)]
+
+
 def test_minmax_is_unbiased():
-    """The share of equal signature bytes estimates the similarity."""
+    """The share of equal lanes estimates the similarity."""
     r = random.Random(3)
     a = [r.choice(VOCAB) + r.choice(VOCAB) for _ in range(400)]
     b = a[:320] + [r.choice(VOCAB) + r.choice(VOCAB) for _ in range(80)]
-    import pyarrow as pa
+    from quillspan.llm import common
 
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [" ".join(a), " ".join(b)]})
-    out = next(minhash._sign(1)(iter([batch]))).to_pylist()
-    x, y = (np.array(o["lanes"], np.int64).view(np.uint8) for o in out)
+    sets = [minhash.shingle_set(" ".join(t), 1, common.WordHash(), common.odd(5, 1)) for t in (a, b)]
+    x, y = minhash.signatures(sets).T
     assert abs((x == y).mean() - len(set(a) & set(b)) / len(set(a) | set(b))) < 0.15
 
 
+def test_bands_find_the_threshold():
+    """Of pairs at a similarity of 0.8 hardly one in a thousand shares no band."""
+    r = np.random.default_rng(5)
+    lanes = minhash.band_lanes()
+    equal = r.random((20_000, 2 * minhash.PERMS)) < 0.8
+    found = np.zeros(len(equal), bool)
+    for chosen in lanes:
+        found |= equal[:, chosen].all(axis=1)
+    assert len(lanes) == minhash.BANDS and found.mean() > 0.999
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(500, 500), (None, 3)]
