@@ -1,20 +1,26 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels mark documents, so tokens are labelled through their features: a word, or one of its beginnings of 4 to 6 letters,
-that toxic documents hold far more often than others (smoothed log-odds) marks the token of a toxic document as toxic.
+Labels mark documents, so tokens are labelled through what documents show: a word, or one of its beginnings of 4 to 6
+letters, that toxic documents hold far more often than others (smoothed log-odds) marks the token of a toxic document as
+toxic. The labels of one half of the sample come from that half, the features the chain is fitted on from the other, so it
+learns how far odds can be trusted and not the threshold that made its labels; scoring takes the odds of both halves.
 A feature counts only if chance would hardly give any of all features tested so many toxic documents (Chernoff's bound),
 and no oftener than it stands between different neighbours: copies of one text are one place.
 The chain has two states, real-valued features (the log-odds of the word and of its beginnings), a bias and transitions,
 fitted by gradient ascent. Forward-backward marginals of every token give the document's largest marginal and its
-expected number of toxic tokens; a logistic curve over those, fitted on the same sample, is the score. Offending spans are
-the runs of tokens whose marginal is at least one half.
+expected number of toxic tokens; a logistic curve over those and the length of the text, fitted on the same sample, is the
+score. Offending spans are the runs of tokens whose marginal is at least one half.
 
 Tokens without a feature all have the same factor, so a run of them is one power of a 2x2 matrix: the chain is exact and
 costs a step for each token that has a feature. The fit does the same: it sees each text from its first token to its last.
 
 The fit sees at most ``sample`` labelled rows (those with the smallest hashes of doc_id), whatever the input's size, and
-has no other bound; the score uses the text alone. Null and empty texts get the score of a text without toxic tokens. Labels that are null are
-passed over; without labels of both kinds, or without a word strong enough to be labelled toxic, every score is 0.
+has no other bound: the features that reach the driver are words of the sample which pass the test above. The score uses
+the text alone. Null and empty texts get the score of a text without toxic tokens. Labels that are null are passed over;
+without labels of both kinds, or without a word strong enough to be labelled toxic, every score is 0. Each row is scored by
+itself: rows that repeat a doc_id are each reported, equal texts get equal scores, long texts are read whole, and columns
+other than doc_id and text, whatever their names, are not read. Labelled rows that tie on the hash of their doc_id are
+taken in the order of doc_id and label; a doc_id with several labels or several texts is one row of the sample for each.
 """
 
 from __future__ import annotations
@@ -33,14 +39,21 @@ from . import common as C
 from .decontaminate import plain
 
 SAMPLE = 20_000
-FEATURES = 20_000
 STRONG = 3
 BEGINNINGS = (4, 5, 6)
-FAR = 2048
 RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("top_marginal", pa.float64()), ("expected_toxic", pa.float64()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: counts of documents by half of the sample and label
+CELLS = ((0, 0, "cold0"), (0, 1, "hot0"), (1, 0, "cold1"), (1, 1, "hot1"))
+
+
+def half(text: bytes) -> int:
+    """Which half of the sample a text belongs to."""
+    return xxhash.xxh3_64_intdigest(text, seed=10) & 1
+
+
 def hash_of(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
@@ -65,11 +78,24 @@ class Tagger:
         self.memo: dict[bytes, int] = {}
         self.steps = np.exp(model.trans)
         calm = self.steps * np.array([1.0, np.exp(model.weights[0])])
-        calm = calm / calm.sum()
-        self.calm = [np.eye(2)]
-        for _ in range(FAR):
-            nxt = self.calm[-1] @ calm
-            self.calm.append(nxt / nxt.sum())
+        self.squares, self.powers = [calm / calm.sum()], {0: np.eye(2)}
+
+    def calm(self, n: int) -> np.ndarray:
+        """n steps over tokens without a feature, but for a scale."""
+        got = self.powers.get(n)
+        if got is None:
+            if len(self.powers) > 100_000:
+                self.powers = {0: np.eye(2)}
+            got = np.eye(2)
+            for k in range(n.bit_length()):
+                if k == len(self.squares):
+                    square = self.squares[-1] @ self.squares[-1]
+                    self.squares.append(square / square.sum())
+                if n >> k & 1:
+                    got = got @ self.squares[k]
+                    got = got / got.sum()
+            self.powers[n] = got
+        return got
 
     def number(self, words: list[bytes]) -> np.ndarray:
         """0 for a token without a feature, else the row of its values."""
@@ -92,38 +118,42 @@ class Tagger:
             return at, np.empty(0)
         force = [np.array([1.0, np.exp(min(50.0, self.m.weights[0] + float(self.m.weights[1:] @ self.values[n])))]) for n in numbers[at].tolist()]
         gaps = np.diff(at, prepend=-1) - 1
-        calm, first = self.calm, np.array([1.0, np.exp(self.m.weights[0])])
+        first = np.array([1.0, np.exp(self.m.weights[0])])
         # before the first token there is no transition
         ahead, a = [], None
         for f, g in zip(force, gaps.tolist(), strict=True):
             if a is None:
-                a = f if g == 0 else (first @ calm[min(g - 1, FAR)]) @ self.steps * f
+                a = f if g == 0 else (first @ self.calm(g - 1)) @ self.steps * f
             else:
-                a = (a @ calm[min(g, FAR)]) @ self.steps * f
+                a = (a @ self.calm(g)) @ self.steps * f
             a = a / a.sum()
             ahead.append(a)
-        b = calm[min(len(numbers) - 1 - int(at[-1]), FAR)] @ np.ones(2)
+        b = self.calm(len(numbers) - 1 - int(at[-1])) @ np.ones(2)
         out = np.empty(len(at))
         for i in range(len(at) - 1, -1, -1):
             p = ahead[i] * b
             out[i] = p[1] / p.sum()
             if i:
-                b = calm[min(int(gaps[i]), FAR)] @ (self.steps @ (force[i] * b))
+                b = self.calm(int(gaps[i])) @ (self.steps @ (force[i] * b))
                 b = b / b.sum()
         return at, out
 
-    def document(self, text: str | None) -> tuple[float, float, np.ndarray, np.ndarray]:
-        at, p = self.marginals(self.number((text or "").encode("utf-8", "surrogatepass").split()))
-        return (float(p.max()), float(p.sum()), at, p) if len(at) else (0.0, 0.0, at, p)
+    def document(self, text: str | None) -> tuple[float, float, int, np.ndarray, np.ndarray]:
+        """Largest marginal, expected toxic tokens, tokens, and the tokens with features with their marginals."""
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        at, p = self.marginals(self.number(words))
+        return (float(p.max()), float(p.sum()), len(words), at, p) if len(at) else (0.0, 0.0, len(words), at, p)
 
-    def score(self, top: float, total: float) -> float:
+    def score(self, top: float, total: float, tokens: int) -> float:
         if self.m.curve is None:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.m.curve @ inputs(top, total), -50, 50))))
+        return float(1 / (1 + np.exp(-np.clip(self.m.curve @ inputs(top, total, tokens), -50, 50))))
 
 
-def inputs(top, total) -> np.ndarray:
-    return np.array([np.ones_like(np.asarray(top, float)), np.asarray(top, float), np.log1p(np.asarray(total, float))])
+def inputs(top, total, tokens) -> np.ndarray:
+    """What the curve sees: one toxic token says more in a short text than in a long one."""
+    top = np.asarray(top, float)
+    return np.array([np.ones_like(top), top, np.log1p(np.asarray(total, float)), top * np.log1p(np.asarray(tokens, float))])
 
 
 def spans(text: str, at: np.ndarray, p: np.ndarray) -> tuple[list[int], list[int]]:
@@ -246,12 +276,13 @@ def fit_chain(chains: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], roun
     return theta[: 1 + values], theta[1 + values :].reshape(2, 2)
 
 
-def fit_curve(top: np.ndarray, total: np.ndarray, y: np.ndarray) -> np.ndarray:
+def fit_curve(top: np.ndarray, total: np.ndarray, tokens: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps."""
-    x, w = inputs(top, total), np.zeros(3)
+    x = inputs(top, total, tokens)
+    w = np.zeros(len(x))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-        h = (x * (p * (1 - p))) @ x.T + 0.1 * np.eye(3)
+        h = (x * (p * (1 - p))) @ x.T + 0.1 * np.eye(len(x))
         w = w + np.linalg.solve(h, x @ (y - p) - 0.1 * w)
     return w
 
@@ -265,18 +296,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = C.written(C.texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic"), "sample").repartition(C.parts(spark))
 
     def count(batches):
-        got = {0: Counter(), 1: Counter()}
+        # by half of the sample, then by label: copies of a text are in one half
+        got = [[Counter(), Counter()], [Counter(), Counter()]]
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                got[int(y > 0)].update({f for w in set((t.as_py() or "").encode("utf-8", "surrogatepass").split()) for f in features(w) if f})
-        names = list(got[1])
-        more = [f for f in got[0] if f not in got[1]]
-        yield pa.RecordBatch.from_pydict({"f": names + more, "hot": [got[1][f] for f in names] + [0] * len(more), "cold": [got[0][f] for f in names + more]}, schema=pa.schema([("f", pa.string()), ("hot", pa.int64()), ("cold", pa.int64())]))
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                got[half(raw)][int(y > 0)].update({f for w in set(raw.split()) for f in features(w) if f})
+        names = list(set().union(*got[0], *got[1]))
+        yield pa.RecordBatch.from_pydict({"f": names} | {c: [got[k][y][f] for f in names] for k, y, c in CELLS}, schema=pa.schema([("f", pa.string()), *((c, pa.int64()) for _, _, c in CELLS)]))
+
+    def sizes(batches):
+        for b in batches:
+            of = [(half((t.as_py() or "").encode("utf-8", "surrogatepass")), int(y > 0)) for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"k": [k for k, _ in of], "y": [y for _, y in of]}, schema=pa.schema([("k", pa.int32()), ("y", pa.int32())]))
 
-    n = {r["y"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
+    size = {(r["k"], r["y"]): r["n"] for r in rows.mapInArrow(sizes, "k int, y int").groupBy("k", "y").agg(F.count("*").alias("n")).collect()}
+    n = {y: size.get((0, y), 0) + size.get((1, y), 0) for y in (0, 1)}
+    if not n[0] or not n[1]:
         return Model()
-    doc_counts = rows.mapInArrow(count, "f string, hot long, cold long").groupBy("f").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold")).where("hot >= 3")
+    doc_counts = rows.mapInArrow(count, "f string, " + ", ".join(f"{c} long" for _, _, c in CELLS)).groupBy("f").agg(*(F.sum(c).alias(c) for _, _, c in CELLS))
+    doc_counts = doc_counts.select("f", (F.col("hot0") + F.col("hot1")).alias("hot"), (F.col("cold0") + F.col("cold1")).alias("cold"), *(c for _, _, c in CELLS)).where("hot >= 3")
     doc_counts = C.written(doc_counts, "counts")
     tested, rate = max(1, doc_counts.count()), n[1] / (n[0] + n[1])
 
@@ -287,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return F.when(q > rate, both * (q * F.log(q / rate) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - rate))).otherwise(0.0))).otherwise(0.0)
 
     limit = float(np.log(tested) + 2)
-    likely = [r["f"] for r in doc_counts.where(gain(F.col("hot")) > limit).orderBy(F.desc(gain(F.col("hot"))), "f").limit(FEATURES).collect()]
+    likely = [r["f"] for r in doc_counts.where(gain(F.col("hot")) > limit).select("f").collect()]
     wanted = spark.sparkContext.broadcast(frozenset(likely))
 
     def contexts(batches):
@@ -304,24 +343,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     places = rows.mapInArrow(contexts, "f string, c long").distinct().groupBy("f").agg(F.count("*").alias("places"))
     table = doc_counts.join(places, "f").withColumn("seen", F.least("hot", "places")).where(gain(F.col("seen")) > limit)
     odds = F.log((F.col("seen") + 0.5) / (n[1] + 1)) - F.log((F.col("cold") + 0.5) / (n[0] + 1))
-    model = Model({r["f"]: min(r["odds"], 6.0) for r in table.withColumn("odds", odds).where("odds > 1.5").collect()})
-    shared = spark.sparkContext.broadcast(model)
+    told = table.withColumn("odds", odds).where("odds > 1.5").collect()
+    model = Model({r["f"]: min(r["odds"], 6.0) for r in told})
+
+    def alone(k: int) -> Model:
+        """The odds of one half of the sample."""
+        hot, cold = size.get((k, 1), 0) + 1, size.get((k, 0), 0) + 1
+        return Model({r["f"]: min(float(np.log((r[f"hot{k}"] + 0.5) / hot) - np.log((r[f"cold{k}"] + 0.5) / cold)), 6.0) for r in told})
+
+    halves = spark.sparkContext.broadcast((alone(0), alone(1)))
 
     def chains(batches):
-        tag = Tagger(shared.value)
+        tags = [Tagger(m) for m in halves.value]
         for b in batches:
             out = []
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                num = tag.number((t.as_py() or "").encode("utf-8", "surrogatepass").split())
-                at = np.flatnonzero(num)
-                if len(num):
-                    out.append({"y": int(y > 0), "n": len(num), "at": at.tolist(), "x": np.concatenate([tag.values[k] for k in num[at].tolist()]) if len(at) else []})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))]))
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                words, k = raw.split(), half(raw)
+                own, other = tags[k].number(words), tags[1 - k].number(words)
+                at = np.flatnonzero(own | other)
+                if words:
+                    strong = [y > 0 and float(tags[k].values[i].max()) >= STRONG for i in own[at].tolist()]
+                    out.append({"n": len(words), "at": at.tolist(), "x": np.concatenate([tags[1 - k].values[i] for i in other[at].tolist()]) if len(at) else [], "y": strong})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("n", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.bool_()))]))
 
     got = []
-    for r in rows.mapInArrow(chains, "y int, n long, at array<long>, x array<double>").toLocalIterator():
-        v = np.array(r["x"], float).reshape(-1, 1 + len(BEGINNINGS))
-        got.append((r["n"], np.array(r["at"], np.int64), v, r["y"] * (v >= STRONG).any(axis=1)))
+    for r in rows.mapInArrow(chains, "n long, at array<long>, x array<double>, y array<boolean>").toLocalIterator():
+        got.append((r["n"], np.array(r["at"], np.int64), np.array(r["x"], float).reshape(-1, 1 + len(BEGINNINGS)), np.array(r["y"], np.int64)))
     if not any(c[3].any() for c in got):
         return Model()
     model.weights, model.trans = fit_chain(got)
@@ -330,11 +378,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def sums(batches):
         tag = Tagger(shared.value)
         for b in batches:
-            got = [tag.document(t.as_py())[:2] for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), b.column(1)], names=["top", "total", "toxic"])
+            got = [tag.document(t.as_py())[:3] for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()), b.column(1)], names=["top", "total", "tokens", "toxic"])
 
-    d = np.array([tuple(r) for r in rows.mapInArrow(sums, "top double, total double, toxic int").orderBy("top", "total", "toxic").collect()], float)
-    model.curve = fit_curve(d[:, 0], d[:, 1], (d[:, 2] > 0).astype(float))
+    # the sample is bounded; sorted, its sums round alike in every run
+    d = np.array(sorted(tuple(r) for r in rows.mapInArrow(sums, "top double, total double, tokens long, toxic int").collect()), float)
+    model.curve = fit_curve(d[:, 0], d[:, 1], d[:, 2], (d[:, 3] > 0).astype(float))
     return model
 
 
@@ -349,8 +398,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(lo, 512)
                 out = []
                 for t in part.column(1):
-                    top, total, at, p = tag.document(text := t.as_py())
-                    out.append((tag.score(top, total), top, total, *spans(text or "", at, p)))
+                    top, total, tokens, at, p = tag.document(text := t.as_py())
+                    out.append((tag.score(top, total, tokens), top, total, *spans(text or "", at, p)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), list(RESULT)[1:], strict=True))], schema=RESULT)
 
     return C.texts(docs).mapInArrow(run, C.schema(RESULT))
@@ -364,7 +413,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         tag = Tagger(shared.value)
         for batch in batches:
-            keep = [tag.score(*tag.document(None if t.as_py() is None else str(t.as_py()))[:2]) < 0.5 for t in batch.column(at)]
+            keep = [tag.score(*tag.document(None if t.as_py() is None else str(t.as_py()))[:3]) < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

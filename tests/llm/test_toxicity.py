@@ -59,3 +59,26 @@ def test_toxic_words_far_into_a_text(spark):
     assert model.odds["w:meh"] < toxicity.STRONG < model.odds["w:scumbag"]
     got = {x["doc_id"]: x["score"] for x in toxicity.scored(docs, model).collect()}
     assert sum((got[i] >= 0.5) == (i % 6 == 0) for i in got) / len(got) > 0.97
+
+
+def test_gaps_of_any_length_are_exact():
+    """A step for each token gives the marginals that powers of one matrix give, over gaps of thousands of tokens too."""
+    r = np.random.default_rng(8)
+    model = toxicity.Model({"w:bad": 2.5, "w:poor": 1.0}, np.array([-0.4, 1.1, 0.0, 0.0, 0.0]), np.array([[0.3, -0.9], [-0.7, 0.8]]))
+    tag = toxicity.Tagger(model)
+    words = [b"calm"] * 9000
+    for i in (3, 2900, 2901, 8000):
+        words[i] = r.choice([b"bad", b"poor"])
+    at, p = tag.marginals(tag.number(words))
+    force = np.ones((len(words), 2))
+    force[:, 1] = [np.exp(model.weights[0] + model.weights[1] * model.odds.get(f"w:{w.decode()}", 0.0)) for w in words]
+    step, a, b = np.exp(model.trans), np.empty_like(force), np.ones_like(force)
+    a[0] = force[0] / force[0].sum()
+    for i in range(1, len(words)):
+        a[i] = (a[i - 1] @ step) * force[i]
+        a[i] /= a[i].sum()
+    for i in range(len(words) - 2, -1, -1):
+        b[i] = step @ (force[i + 1] * b[i + 1])
+        b[i] /= b[i].sum()
+    whole = a * b
+    assert at.tolist() == [3, 2900, 2901, 8000] and np.allclose(p, (whole[:, 1] / whole.sum(1))[at], atol=1e-9)
