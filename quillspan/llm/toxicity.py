@@ -368,7 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("n", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.bool_()))]))
 
     got = []
-    for r in rows.mapInArrow(chains, "n long, at array<long>, x array<double>, y array<boolean>").toLocalIterator():
+    for r in rows.mapInArrow(chains, "n long, at array<long>, x array<double>, y array<boolean>").collect():
         got.append((r["n"], np.array(r["at"], np.int64), np.array(r["x"], float).reshape(-1, 1 + len(BEGINNINGS)), np.array(r["y"], np.int64)))
     if not any(c[3].any() for c in got):
         return Model()
