@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -98,30 +99,66 @@ def schema(arrow: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in arrow)
 
 
-def id_bounds(docs: DataFrame, per_chunk: int, most: int = 1 << 20) -> np.ndarray:
-    """Upper ends (exclusive of the next chunk) that cut the doc_ids into ranges of about per_chunk rows.
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of doc_id in ascending order, about equal in rows: chunks 0, 1, 2, ...
 
-    At most ``most`` numbers reach the driver, however many rows there are.
+    An id that fills more than a range by itself has ``splits`` chunks of its own after the other ids of its range, and
+    rows without an id have ``nulls`` chunks at the end; within these a row's text decides. So no chunk grows with the
+    rows of one id.
     """
-    n = docs.count()
-    k = min(most, max(1, -(-n // per_chunk)))
+
+    bounds: np.ndarray
+    splits: np.ndarray
+    nulls: int
+
+    @property
+    def offsets(self) -> np.ndarray:
+        """The first chunk of each range; the last entry is the first chunk of rows without an id."""
+        return np.concatenate([[0], np.cumsum(1 + self.splits), [len(self.bounds) + int(self.splits.sum()) + 1]]).astype(np.int64)
+
+    @property
+    def chunks(self) -> int:
+        return int(self.offsets[-1]) + self.nulls
+
+    def of(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+        """The chunk of each row."""
+        key = np.asarray(ids.fill_null(0))
+        at = np.searchsorted(self.bounds, key, side="left")
+        out, offsets = self.offsets[at], self.offsets
+        null = np.asarray(ids.is_null())
+        if len(self.bounds):
+            inside = np.minimum(at, len(self.bounds) - 1)
+            heavy = (at < len(self.bounds)) & (self.bounds[inside] == key) & (self.splits[inside] > 0) & ~null
+            for i in np.flatnonzero(heavy).tolist():
+                out[i] += 1 + _text_hash(texts[i]) % int(self.splits[at[i]])
+        for i in np.flatnonzero(null).tolist():
+            out[i] = offsets[-1] + _text_hash(texts[i]) % max(1, self.nulls)
+        return out
+
+
+def _text_hash(text: pa.Scalar) -> int:
+    return xxhash.xxh3_64_intdigest((text.as_py() or "").encode("utf-8", "surrogatepass"))
+
+
+def ranges(docs: DataFrame, per_chunk: int, most: int = 1 << 20) -> Ranges:
+    """Ranges of about per_chunk rows. At most ``most`` numbers reach the driver, however many rows there are."""
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    k, nulls = min(most, max(1, -(-known // per_chunk))), -(-(n - known) // per_chunk)
     if k == 1:
-        return np.empty(0, np.int64)
+        return Ranges(np.empty(0, np.int64), np.empty(0, np.int64), nulls)
     at = [i / k for i in range(1, k)]
     got = docs.select(F.percentile_approx("doc_id", at, min(1_000_000, 100 * k)).alias("b")).first()["b"] or []
-    return np.unique(np.array(got, dtype=np.int64))
+    bounds, times = np.unique(np.array(got, dtype=np.int64), return_counts=True)
+    # an id that stands at several of the cuts holds about so many ranges of rows
+    return Ranges(bounds, np.where(times > 1, times, 0), nulls)
 
 
-def chunked(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """doc_id, text and chunk: ranges of doc_id in ascending order; null ids come after all others."""
-    last = len(bounds) + 1
+def chunked(docs: DataFrame, cut: Ranges) -> DataFrame:
+    """doc_id, text and chunk."""
 
     def add(batches):
         for b in batches:
-            ids = b.column(0)
-            chunk = np.searchsorted(bounds, np.asarray(ids.fill_null(0)), side="left").astype(np.int32)
-            if ids.null_count:
-                chunk[np.asarray(ids.is_null())] = last
-            yield pa.RecordBatch.from_arrays([ids, b.column(1), pa.array(chunk)], names=["doc_id", "text", "chunk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut.of(b.column(0), b.column(1)), pa.int32())], names=["doc_id", "text", "chunk"])
 
     return texts(docs).mapInArrow(add, "doc_id long, text string, chunk int")

@@ -77,7 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 def _dealt(docs: DataFrame, per_chunk: int) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LATEST)))
-    bounds = [int(b) for b in C.id_bounds(docs.select("doc_id"), per_chunk, most=1024)]
+    bounds = [int(b) for b in C.ranges(docs.select("doc_id"), per_chunk, most=1024).bounds]
     chunk = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("k"))) if bounds else F.lit(0)
     return rows.withColumn("chunk", chunk), len(bounds) + 1
 

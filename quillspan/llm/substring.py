@@ -110,10 +110,10 @@ def _cut(k: int, buckets: int):
 def remove_repeats(docs: DataFrame, k: int = 13, chunk_docs: int = 1000) -> DataFrame:
     """Per document: words, words removed, digest of the rest, and the removed spans in word coordinates."""
     docs = C.texts(docs)
-    bounds = C.id_bounds(docs, chunk_docs)
+    bounds = C.ranges(docs, chunk_docs)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(min(65536, max(4, chars // 12_000_000)))
-    n = max(C.parts(docs.sparkSession), len(bounds) // 64 + 1)
+    n = max(C.parts(docs.sparkSession), bounds.chunks // 64 + 1)
     dealt = C.chunked(docs, bounds).repartition(n, "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_ask(k, buckets), "bucket int, chunk int, edges binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, again binary")

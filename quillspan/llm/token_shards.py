@@ -2,6 +2,10 @@
 
 Documents are dealt in ranges of ascending doc_id, a shard each; every shard is encoded, packed and written in the task
 that holds it. Only shard totals are summed in order (one row a shard).
+
+Null texts count as empty (the end id alone). Rows with a null doc_id come last and fill shards of their own; rows that
+repeat a doc_id stand next to each other, in the order of their texts within a shard. An empty table has no shards. Long
+texts are encoded whole. Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -123,8 +127,10 @@ def _pack(spec_of):
     def pack(table: pa.Table) -> pa.Table:
         enc = encoder(spec_of.value)
         ids = table.column("doc_id").combine_chunks()
-        order = np.lexsort([np.asarray(ids.fill_null(0)), np.asarray(ids.is_null())])
-        texts = table.column("text").combine_chunks()
+        key, texts = np.asarray(ids.fill_null(0)), table.column("text").combine_chunks()
+        order = np.argsort(key, kind="stable")
+        if len(np.unique(key)) < len(key):
+            order = np.array(sorted(order.tolist(), key=lambda i: (key[i], texts[i].as_py() or "")), np.int64)
         each, lens = [], []
         for at in range(0, len(order), 256):
             for got in enc.encode([texts[int(i)].as_py() or "" for i in order[at : at + 256]]):
@@ -140,9 +146,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_docs: int = 2
     """Encode and write the shards under path; returns the written table: a row a shard, data being its file."""
     spark = docs.sparkSession
     docs = C.texts(docs)
-    bounds = C.id_bounds(docs, shard_docs)
+    cut = C.ranges(docs, shard_docs)
     spec = spark.sparkContext.broadcast(tokenizer_spec(tokenizer))
-    dealt = C.chunked(docs, bounds).repartition(max(C.parts(spark), len(bounds) // 32 + 1), "chunk")
+    dealt = C.chunked(docs, cut).repartition(max(C.parts(spark), cut.chunks // 32 + 1), "chunk")
     dealt.groupBy("chunk").applyInArrow(_pack(spec), C.schema(SHARD)).write.parquet(path)
     return spark.read.schema(C.schema(SHARD)).parquet(path)
 

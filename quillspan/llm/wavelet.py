@@ -1,28 +1,97 @@
 """Token ids as wavelet matrices: one succinct, compressed file a shard.
 
 A shard holds the ids of a range of documents. Bit planes run from the highest bit to the lowest; each plane keeps the
-ids stably partitioned by the bits before it, and its count of zeros. With ranks over a plane, ``access``, ``count`` and
-``positions`` take a step a plane and never unpack the shard. Planes are zlib-compressed and the header holds document
-lengths, so the file stands alone.
+ids stably partitioned by the bits before it. A plane is cut into blocks of ``BLOCK`` bits, each compressed by itself, and
+its directory, which the file holds uncompressed, tells for each block where its bytes end and how many ones come before
+it. Rank takes a directory entry and one block, select a binary search of the directory and one block, so ``access``,
+``count`` and ``positions`` take a step a plane and inflate only the blocks they touch; ``ids`` alone reads all of them.
+The header holds document lengths, so the file stands alone.
 
-Nulls: a null text encodes as the empty text (the end id alone); rows with a null doc_id come last.
+An empty shard has no blocks. Positions outside the shard raise IndexError; ids that the shard doesn't hold count 0.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 
-MAGIC = b"QSWM1\0"
+MAGIC = b"QSWM2\0"
+BLOCK = 1 << 15
+#: inflated blocks a plane keeps
+KEPT = 8
+ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+class Plane:
+    """A bit vector in compressed blocks, with a directory of ranks."""
+
+    def __init__(self, n: int, ones: np.ndarray, ends: np.ndarray, data: bytes | memoryview):
+        self.n, self.ones, self.ends, self.data = n, ones, ends, data
+        self.zeros = n - int(ones[-1])
+        self.inflated = 0
+        self._kept: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> "Plane":
+        packed = np.packbits(bits)
+        size, blocks, ends = BLOCK // 8, [], [0]
+        for at in range(0, len(packed), size):
+            blocks.append(zlib.compress(packed[at : at + size].tobytes(), 1))
+            ends.append(ends[-1] + len(blocks[-1]))
+        starts = np.arange(0, len(packed), size)
+        each = np.add.reduceat(ONES[packed].astype(np.int64), starts) if len(packed) else np.empty(0, np.int64)
+        return cls(len(bits), np.concatenate([[0], np.cumsum(each)]).astype("<i8"), np.array(ends, "<i8"), b"".join(blocks))
+
+    def _raw(self, k: int) -> bytes:
+        self.inflated += 1
+        return zlib.decompress(self.data[int(self.ends[k]) : int(self.ends[k + 1])])
+
+    def block(self, k: int) -> np.ndarray:
+        """Packed bits of one block."""
+        got = self._kept.pop(k, None)
+        if got is None:
+            got = np.frombuffer(self._raw(k), np.uint8)
+            if len(self._kept) >= KEPT:
+                self._kept.popitem(last=False)
+        self._kept[k] = got
+        return got
+
+    def bits(self) -> np.ndarray:
+        """The whole plane, for reading all ids."""
+        raw = b"".join(self._raw(k) for k in range(len(self.ends) - 1))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
+
+    def bit(self, i: int) -> bool:
+        k, j = divmod(i, BLOCK)
+        return bool(self.block(k)[j >> 3] >> (7 - (j & 7)) & 1)
+
+    def rank(self, i: int) -> int:
+        """Ones before position i."""
+        k, j = divmod(i, BLOCK)
+        if not j:
+            return int(self.ones[k])
+        block = self.block(k)
+        part = int(block[j >> 3]) >> (8 - (j & 7)) if j & 7 else 0
+        return int(self.ones[k]) + int(ONES[block[: j >> 3]].sum()) + int(ONES[part])
+
+    def select(self, at: np.ndarray, one: bool) -> np.ndarray:
+        """Positions of the ones (or zeros) of the given numbers, which ascend."""
+        before = self.ones if one else np.minimum(np.arange(len(self.ones)) * BLOCK, self.n) - self.ones
+        of = np.searchsorted(before, at, "right") - 1
+        out = np.empty(len(at), np.int64)
+        for k in np.unique(of).tolist():
+            lo, hi = np.searchsorted(of, [k, k + 1])
+            bits = np.unpackbits(self.block(k), count=min(BLOCK, self.n - k * BLOCK))
+            out[lo:hi] = np.flatnonzero(bits == one)[at[lo:hi] - before[k]] + k * BLOCK
+        return out
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[Plane]):
         self.n, self.planes, self.bits = n, planes, len(planes)
-        self.zeros = [n - int(p.sum()) for p in planes]
-        self._ranks: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> "WaveletMatrix":
@@ -32,7 +101,7 @@ class WaveletMatrix:
         planes = []
         for b in range(bits - 1, -1, -1):
             bit = (cur & cur.dtype.type(1 << b)) != 0
-            planes.append(bit)
+            planes.append(Plane.of(bit))
             if b:
                 cur = np.concatenate([cur[~bit], cur[bit]])
         return cls(len(ids), planes)
@@ -41,43 +110,42 @@ class WaveletMatrix:
         """All ids, from the lowest plane up: each plane's partition undone."""
         cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit, z = self.planes[level], self.zeros[level]
+            bit, z = self.planes[level].bits(), self.planes[level].zeros
             up = np.empty_like(cur)
             up[~bit] = cur[:z]
             up[bit] = cur[z:] | cur.dtype.type(1 << (self.bits - 1 - level))
             cur = up
         return cur.astype(np.uint32)
 
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each position."""
-        if self._ranks is None:
-            self._ranks = [np.concatenate([[0], np.cumsum(p, dtype=np.int64)]) for p in self.planes]
-        return self._ranks
-
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for p, r, z in zip(self.planes, self.ranks, self.zeros, strict=True):
-            bit = bool(p[i])
+        for p in self.planes:
+            bit, ones = p.bit(i), p.rank(i)
             out = out << 1 | bit
-            i = z + int(r[i]) if bit else i - int(r[i])
+            i = p.zeros + ones if bit else i - ones
         return out
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token >> self.bits:
+        if token < 0 or token >> self.bits:
             return 0, 0
-        for level, (r, z) in enumerate(zip(self.ranks, self.zeros, strict=True)):
+        for level, p in enumerate(self.planes):
+            a, b = p.rank(lo), p.rank(hi)
             if token >> (self.bits - 1 - level) & 1:
-                lo, hi = z + int(r[lo]), z + int(r[hi])
+                lo, hi = p.zeros + a, p.zeros + b
             else:
-                lo, hi = lo - int(r[lo]), hi - int(r[hi])
+                lo, hi = lo - a, hi - b
+            if lo == hi:
+                break
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of token in [lo, hi)."""
-        lo, hi = self._range(token, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else hi
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        lo, hi = self._range(token, lo, hi)
         return hi - lo
 
     def positions(self, token: int) -> np.ndarray:
@@ -85,33 +153,37 @@ class WaveletMatrix:
         lo, hi = self._range(token, 0, self.n)
         at = np.arange(lo, hi, dtype=np.int64)
         for level in range(self.bits - 1, -1, -1):
-            bit, z = self.planes[level], self.zeros[level]
-            at = np.flatnonzero(bit)[at - z] if token >> (self.bits - 1 - level) & 1 else np.flatnonzero(~bit)[at]
-        return np.sort(at)
+            p, one = self.planes[level], bool(token >> (self.bits - 1 - level) & 1)
+            at = p.select(at - p.zeros if one else at, one)
+        return at
 
 
 def dumps(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file: magic, header, document lengths, planes."""
+    """The file: magic, header, document lengths, directories, planes."""
     m = WaveletMatrix.build(ids)
-    packed = [zlib.compress(np.packbits(p).tobytes(), 1) for p in m.planes]
     lens = zlib.compress(np.asarray(lengths, np.int64).tobytes(), 1)
     head = struct.pack("<QQII", m.n, len(lengths), m.bits, len(lens))
-    return b"".join([MAGIC, head, struct.pack(f"<{m.bits}I", *map(len, packed)), lens, *packed])
+    return b"".join([MAGIC, head, lens, *(x.tobytes() for p in m.planes for x in (p.ones, p.ends)), *(p.data for p in m.planes)])
 
 
 def loads(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
+    """The matrix over the file's own bytes, nothing inflated but the document lengths."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a wavelet shard")
-    at = len(MAGIC)
+    view, at = memoryview(data), len(MAGIC)
     n, docs, bits, n_lens = struct.unpack_from("<QQII", data, at)
     at += struct.calcsize("<QQII")
-    sizes = struct.unpack_from(f"<{bits}I", data, at)
-    at += 4 * bits
-    lengths = np.frombuffer(zlib.decompress(data[at : at + n_lens]), np.int64)
+    lengths = np.frombuffer(zlib.decompress(view[at : at + n_lens]), np.int64)
+    if len(lengths) != docs:
+        raise ValueError("a wavelet shard whose lengths don't match its header")
     at += n_lens
+    entries, found = -(-n // BLOCK) + 1, []
+    for _ in range(bits):
+        ones, ends = (np.frombuffer(view[at + i * 8 * entries : at + (i + 1) * 8 * entries], "<i8") for i in (0, 1))
+        found.append((ones, ends))
+        at += 16 * entries
     planes = []
-    for s in sizes:
-        planes.append(np.unpackbits(np.frombuffer(zlib.decompress(data[at : at + s]), np.uint8), count=n).astype(bool))
-        at += s
-    assert len(lengths) == docs
+    for ones, ends in found:
+        planes.append(Plane(n, ones, ends, view[at : at + int(ends[-1])]))
+        at += int(ends[-1])
     return WaveletMatrix(n, planes), lengths

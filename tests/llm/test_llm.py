@@ -414,6 +414,44 @@ def test_wavelet():
         wavelet.loads(b"something else")
 
 
+def test_wavelet_inflates_what_it_needs():
+    """Blocks of the compressed planes are opened one by one; the rank directories are in the file."""
+    r = np.random.default_rng(2)
+    ids = r.integers(0, 1 << 16, 20 * wavelet.BLOCK)
+    ids[[5, 400_000, 650_000]] = 77
+    data = wavelet.dumps(ids, np.array([len(ids)]))
+    assert len(data) < 2.3 * len(ids)
+
+    def opened(ask):
+        m, _ = wavelet.loads(data)
+        return ask(m), max(p.inflated for p in m.planes)
+
+    assert opened(lambda m: m.access(333_333)) == (ids[333_333], 1)
+    found, most = opened(lambda m: m.count(77))
+    assert found == (ids == 77).sum() and most <= 2
+    found, most = opened(lambda m: m.positions(77).tolist())
+    assert found == np.flatnonzero(ids == 77).tolist() and most <= 2 + len(found)
+    with pytest.raises(IndexError):
+        opened(lambda m: m.access(len(ids)))
+
+
+def test_ranges_split_hot_ids(spark):
+    """A doc_id, or none, that holds a third of all rows is dealt over chunks of its own, in order."""
+    from quillspan.llm import common
+
+    r = random.Random(6)
+    rows = [(i, prose(3, r)) for i in range(200)] + [(77, prose(3, r)) for _ in range(200)] + [(None, prose(3, r)) for _ in range(200)]
+    df = spark.createDataFrame(rows, DOC)
+    got = common.chunked(df, common.ranges(df, 20)).collect()
+    size, ids = {}, {}
+    for x in got:
+        size[x["chunk"]] = size.get(x["chunk"], 0) + 1
+        ids.setdefault(x["chunk"], set()).add(x["doc_id"])
+    assert max(size.values()) < 70
+    order = [i for _, found in sorted(ids.items()) for i in sorted(found, key=lambda i: (i is None, i or 0))]
+    assert order == sorted(order, key=lambda i: (i is None, i or 0))
+
+
 def test_token_shards(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
