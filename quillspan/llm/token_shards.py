@@ -26,6 +26,7 @@ from .wavelet import dumps, loads
 SHARD = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 END_ID = 2
+BATCH = 4_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -83,11 +84,18 @@ class WordEncoder:
             for p, e in zip(new, ends, strict=True):
                 known[p] = raw[at * size : e * size]
                 at = e
-        memo, at = self.words, 0
-        for w in words:
-            end = cut.index("\n", at)
-            memo[w] = known[cut[at]] if end == at + 1 else b"".join([known[p] for p in cut[at:end]])
-            at = end + 1
+        memo = self.words
+        if len(cut) == 2 * len(words):
+            memo.update(zip(words, map(known.__getitem__, cut[::2]), strict=True))
+            return
+        ends = np.array([i for i, p in enumerate(cut) if p == "\n"])
+        sizes = np.diff(ends, prepend=-1)
+        # most words are one piece
+        one = np.flatnonzero(sizes == 2).tolist()
+        memo.update(zip(map(words.__getitem__, one), map(known.__getitem__, map(cut.__getitem__, (ends[one] - 1).tolist())), strict=True))
+        for i in np.flatnonzero(sizes != 2).tolist():
+            end = int(ends[i])
+            memo[words[i]] = b"".join(map(known.__getitem__, cut[end + 1 - int(sizes[i]) : end]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
@@ -131,11 +139,16 @@ def _pack(spec_of):
         order = np.argsort(key, kind="stable")
         if len(np.unique(key)) < len(key):
             order = np.array(sorted(order.tolist(), key=lambda i: (key[i], texts[i].as_py() or "")), np.int64)
-        each, lens = [], []
-        for at in range(0, len(order), 256):
-            for got in enc.encode([texts[int(i)].as_py() or "" for i in order[at : at + 256]]):
-                each += [got, np.array([END_ID], np.uint16)]
-                lens.append(len(got) + 1)
+        each, lens, batch, size = [], [], [], 0
+        # a call for about BATCH characters: more of a text's words are known to it, and long texts stay few
+        for k, i in enumerate(order.tolist(), 1):
+            batch.append(texts[i].as_py() or "")
+            size += len(batch[-1])
+            if size >= BATCH or k == len(order):
+                for got in enc.encode(batch):
+                    each += [got, np.array([END_ID], np.uint16)]
+                    lens.append(len(got) + 1)
+                batch, size = [], 0
         flat = np.concatenate(each).astype(np.uint32)
         return pa.Table.from_pylist([{"shard": table.column("chunk")[0].as_py(), "n_docs": len(order), "n_tokens": len(flat), "doc_ids": ids.take(pa.array(order)).to_pylist(), "data": dumps(flat, np.array(lens))}], schema=SHARD)
 
