@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -64,38 +65,43 @@ class WordEncoder:
             self.cut = regex.compile(r"\n|" + split[0]["pattern"]["Regex"]).findall
             self.letters = _byte_letters() | {10: "\n"}
             self.model = Tokenizer.from_str(json.dumps(got | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+            suffix, vocab = got["model"].get("end_of_word_suffix") or "", got["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
 
-    def _cut(self, words: list[bytes]) -> list[str]:
-        """Normalised pieces of all words, with a line end after each word."""
-        text = b"\n".join(words).decode() + "\n"
+    def _normal(self, words: list[bytes]) -> list[str]:
+        text = b"\n".join(words).decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # the library lowers letter by letter; Python does but for a final sigma
-        return self.cut("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
+        return ("".join(map(str.lower, text)) if "\u03a3" in text else text.lower()).split("\n")
+
+    def _ids(self, new: list[str]) -> list[bytes]:
+        """The ids of each of the pieces."""
+        spelt = "\n".join(new).encode().decode("latin-1").translate(self.letters).split("\n")
+        # without alignment the call is quicker, and a piece's last id shows by the end mark of its token
+        ids = np.array(self.model.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new) or ends[-1] != len(ids):
+            got = self.model.encode(spelt, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(got.ids, self.kind), np.searchsorted(np.array(got.word_ids), np.arange(len(new)), "right")
+        raw, cuts = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        cut = self._cut(words)
-        known = self.pieces
-        if new := list(set(cut).difference(known)):
-            got = self.model.encode("\n".join(new).encode().decode("latin-1").translate(self.letters).split("\n"), is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, self.kind), np.array(got.word_ids)
-            ends = np.searchsorted(of, np.arange(len(new)), "right").tolist()
-            raw, size, at = ids.tobytes(), self.kind.itemsize, 0
-            for p, e in zip(new, ends, strict=True):
-                known[p] = raw[at * size : e * size]
-                at = e
-        memo = self.words
-        if len(cut) == 2 * len(words):
-            memo.update(zip(words, map(known.__getitem__, cut[::2]), strict=True))
-            return
-        ends = np.array([i for i, p in enumerate(cut) if p == "\n"])
-        sizes = np.diff(ends, prepend=-1)
-        # most words are one piece
-        one = np.flatnonzero(sizes == 2).tolist()
-        memo.update(zip(map(words.__getitem__, one), map(known.__getitem__, map(cut.__getitem__, (ends[one] - 1).tolist())), strict=True))
-        for i in np.flatnonzero(sizes != 2).tolist():
-            end = int(ends[i])
-            memo[words[i]] = b"".join(map(known.__getitem__, cut[end + 1 - int(sizes[i]) : end]))
+        known, memo, norm = self.pieces, self.words, self._normal(words)
+        # a word of letters alone is one piece; the others are cut, with a line end after each
+        whole = list(map(str.isalpha, norm))
+        plain, odd = list(compress(norm, whole)), [i for i, w in enumerate(whole) if not w]
+        cut = self.cut("\n".join([*map(norm.__getitem__, odd), ""])) if odd else []
+        if new := list(set(plain).union(cut).difference(known)):
+            known.update(zip(new, self._ids(new), strict=True))
+        memo.update(zip(compress(words, whole), map(known.__getitem__, plain), strict=True))
+        at = 0
+        for i in odd:
+            end = cut.index("\n", at)
+            memo[words[i]] = b"".join(map(known.__getitem__, cut[at:end]))
+            at = end + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
