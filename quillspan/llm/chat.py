@@ -54,7 +54,8 @@ def chained(rows: DataFrame) -> DataFrame:
 
 def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     """The messages of each conversation's best branches: conv_id, leaf, depth, role, text."""
-    key = F.coalesce(F.col("conv_id"), F.lit(-(2**63) + 11))
+    # no conversation has the number that stands for none: it is beyond 64 bits
+    key = F.coalesce(F.col("conv_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
     m = C.written(messages.select(key.alias("c"), "conv_id", F.col("id").cast("long"), F.col("parent").cast("long"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
     known = m.select("c", F.col("id").alias("parent"), F.lit(True).alias("there"))
     start = m.select("c", "id", "parent", "score").join(known, ["c", "parent"], "left").select("c", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total"))

@@ -20,8 +20,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one on a local master where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = own.get()
     if not found:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="quillspan-"))
@@ -46,6 +51,17 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as keep it apart from the given columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -175,6 +175,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, min
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no test item, all columns as they were."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that hold no test item, all columns as they were, whatever their names.
+
+    Rows that share a doc_id with one that holds an item go with it; rows with a null doc_id are taken as one document.
+    """
+    (bad,) = C.free(docs.columns, "bad_id")
+    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(bad)), "left_anti")

@@ -8,11 +8,12 @@ run's encoding is inferred from its letters (hexadecimal, base 32, base 62, base
 running text does in that alphabet: chi-squared uniformity (text is uneven: its non-centrality grows with the length),
 the number of runs of upper case, lower case and digits (text changes class rarely) and the serial correlation of
 neighbouring letters (text has some). Their z scores combine by Stouffer's rule into the chance that text looks so random.
-Discoveries are controlled over the whole table by the Benjamini-Hochberg rule with weights in proportion to the length,
-on chances rounded up to tenths of a power of ten, so that a histogram of fixed size is all the driver sees. A run must
-also pass the chi-squared test of uniformity itself.
+Discoveries are controlled over the whole table by the Benjamini-Hochberg rule with weights in proportion to the length
+and a mean of one over all candidates, on chances rounded up to tenths of a power of ten, so that a histogram of fixed
+size is all the driver sees. A run must also pass the chi-squared test of uniformity itself.
 
-Null texts count as empty and have no spans. Each row is judged by itself, so repeated rows and ids are no matter.
+Null texts count as empty and have no spans. Each row is scanned by itself, whole, so repeated rows and ids are no matter;
+only the rate is judged over all rows. Columns may have any names: those that the scan adds keep apart from them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ HEX = r"[0-9a-f]{24,}"
 RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 BINS = 300
+#: the length at which a chance counts for what it is before the mean of the table is known
+USUAL = 30
 #: alphabet size and the sum of squared letter shares that text has in it
 ENCODINGS = {"hex": (16, 0.25), "base32": (32, 0.08), "base62": (62, 0.066), "base64": (64, 0.066)}
 CHANGES, SERIAL = 0.15, 0.25
@@ -72,7 +75,7 @@ def _battery(span: Column) -> Column:
     # Page's approximation of the normal distribution
     chance = 1 / (1 + F.exp(F.least(1.5976 * -z + 0.070566 * F.pow(-z, F.lit(3.0)), F.lit(600.0))))
     passes = (chi - (size - 1)) / F.sqrt(2 * (size - 1)) < 4
-    level = F.floor(-10 * F.log10(F.least(chance * 30 / n, F.lit(1.0)))).cast("int")
+    level = F.floor(-10 * F.log10(F.least(chance * USUAL / n, F.lit(1.0)))).cast("int")
     return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.when(passes, F.least(level, F.lit(BINS))).otherwise(-1).alias("bin"))
 
 
@@ -80,12 +83,13 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
 
-def _count(kind: int) -> Column:
-    return F.size(F.filter("_base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+def _count(base: str, kind: int) -> Column:
+    return F.size(F.filter(base, lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs with ``_base`` (kind number, s, e) and ``_maybe`` (s, e, bin) beside their own columns."""
+def scanned(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, and their names: base spans (s, kind number, e), and candidates (s, e, bin)."""
+    base_name, maybe_name, runs_name = C.free(docs.columns, "base", "maybe", "runs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = _spans(text, ASSIGN, text.rlike("(?i:passw|secret|token|api_?key)"))
     assign = F.filter(assign, lambda x: F.length(F.regexp_extract(x["m"], f"^{ASSIGN}$", 1)) >= 6)
@@ -93,26 +97,32 @@ def scanned(docs: DataFrame) -> DataFrame:
     hexes = _spans(text, HEX, text.rlike(HEX))
     base = F.concat(*(_of_kind(c, k) for k, c in enumerate((assign, access, hexes))))
     mixed = F.filter(_spans(text, RANDOM, text.rlike(RANDOM)), lambda x: x["m"].rlike("[0-9A-Z].*[a-z]|[a-z].*[0-9A-Z]|[0-9].*[A-Z]|[A-Z].*[0-9]"))
-    out = docs.withColumn("_base", F.array_sort(base)).withColumn("_runs", mixed)
-    fresh = F.filter("_runs", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    return out.withColumn("_maybe", F.transform(fresh, _battery)).drop("_runs")
+    out = docs.withColumn(base_name, F.array_sort(base)).withColumn(runs_name, mixed)
+    fresh = F.filter(runs_name, lambda x: ~F.exists(base_name, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    return out.withColumn(maybe_name, F.transform(fresh, _battery)).drop(runs_name), base_name, maybe_name
 
 
-def discovery_bin(maybe: DataFrame, rate: float = 0.01) -> int:
-    """Smallest bin that is a discovery: the histogram has at most BINS + 2 rows."""
-    got = {r["bin"]: r["n"] for r in maybe.select(F.explode("_maybe").alias("x")).groupBy(F.col("x.bin").alias("bin")).agg(F.count("*").alias("n")).collect()}
-    total, above = sum(got.values()), 0
-    best = BINS + 1
+def smallest_bin(histogram: dict[int, tuple[int, int]], rate: float) -> int:
+    """The smallest bin that is a discovery, from each bin's number of candidates and their letters."""
+    total, letters, above = sum(n for n, _ in histogram.values()), sum(m for _, m in histogram.values()), 0
+    # bins hold chance * USUAL / length: in proportion to the mean length, weights have a mean of one
+    scale, best = letters / max(1, total) / USUAL, BINS + 1
     for b in range(BINS, -1, -1):
-        above += got.get(b, 0)
-        if above and 10 ** (-b / 10) * total <= rate * above:
+        above += histogram.get(b, (0, 0))[0]
+        if above and 10 ** (-b / 10) * scale * total <= rate * above:
             best = b
     return best
 
 
-def all_spans(limit: int) -> Column:
+def discovery_bin(rows: DataFrame, maybe: str, rate: float = 0.01) -> int:
+    """Smallest bin that is a discovery: the histogram has at most BINS + 2 rows."""
+    counts = rows.select(F.explode(maybe).alias("x")).groupBy(F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("x.e") - F.col("x.s")).alias("m"))
+    return smallest_bin({r["bin"]: (r["n"], r["m"]) for r in counts.collect()}, rate)
+
+
+def all_spans(base: str, maybe: str, limit: int) -> Column:
     """Base and discovered spans (s, kind number, e), in order."""
-    return F.array_sort(F.concat("_base", _of_kind(F.filter("_maybe", lambda x: x["bin"] >= limit), 3)))
+    return F.array_sort(F.concat(base, _of_kind(F.filter(maybe, lambda x: x["bin"] >= limit), 3)))
 
 
 def told(spans: Column) -> Column:
@@ -122,15 +132,18 @@ def told(spans: Column) -> Column:
 
 def secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """doc_id, counts of base kinds, digest of base spans, all spans. The text is read once."""
-    rows = C.written(scanned(docs.select("doc_id", "text")).select("doc_id", "_base", "_maybe"), "secret-spans")
-    limit = discovery_bin(rows, rate)
-    return rows.select("doc_id", *map(_count, range(3)), F.sha2(told(F.col("_base")), 256).alias("base_sha256"), told(all_spans(limit)).alias("spans"))
+    found, base, maybe = scanned(docs.select("doc_id", "text"))
+    rows = C.written(found.select("doc_id", base, maybe), "secret-spans")
+    limit = discovery_bin(rows, maybe, rate)
+    return rows.select("doc_id", *(_count(base, k) for k in range(3)), F.sha2(told(F.col(base)), 256).alias("base_sha256"), told(all_spans(base, maybe, limit)).alias("spans"))
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
-    """docs with each secret replaced by a mark: all columns as they were, texts without secrets untouched."""
-    limit = discovery_bin(C.written(scanned(docs.select("text")).select("_maybe"), "secret-chances"), rate)
-    rows = scanned(docs).withColumn("_all", all_spans(limit))
+    """docs with each secret replaced by a mark: all columns as they were, texts without secrets untouched. One scan."""
+    found, base, maybe = scanned(docs)
+    found = C.written(found, "secret-spans")
+    (every,) = C.free(found.columns, "every")
+    rows = found.withColumn(every, all_spans(base, maybe, discovery_bin(found, maybe, rate)))
     # spans that touch or overlap become one
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
 
@@ -139,8 +152,8 @@ def masked(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01) -> DataF
         own = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
         return F.when(F.size(acc) == 0, own).when(x["s"] <= last["e"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, own))
 
-    rows = rows.withColumn("_all", F.aggregate("_all", empty, join))
-    before = F.concat(F.array(F.lit(0)), F.transform("_all", lambda x: x["e"]))
-    after = F.concat(F.transform("_all", lambda x: x["s"]), F.array(F.length("text")))
+    rows = rows.withColumn(every, F.aggregate(every, empty, join))
+    before = F.concat(F.array(F.lit(0)), F.transform(every, lambda x: x["e"]))
+    after = F.concat(F.transform(every, lambda x: x["s"]), F.array(F.length("text")))
     kept = F.zip_with(before, after, lambda b, a: F.substring(F.col("text"), b + 1, a - b))
-    return rows.withColumn("text", F.when(F.size("_all") > 0, F.array_join(kept, mark)).otherwise(F.col("text"))).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.size(every) > 0, F.array_join(kept, mark)).otherwise(F.col("text"))).select(*docs.columns)

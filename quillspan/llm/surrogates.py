@@ -10,7 +10,8 @@ and a mail address a letter before the @, and its host is drawn anew, so there a
 their digits: where the real ones leave too few of a format, ``ROUNDS`` draws end with an error.
 
 What is joined is spans, a row for each distinct entity, and only documents that hold any are put together again; others
-pass untouched. Null texts stay null. Rows that repeat doc_id and text are rewritten alike.
+pass untouched. Null texts stay null. Rows that repeat doc_id and text are rewritten alike. Other columns may have any
+names and stay as they were, but for one called n_entities, which gives way to the operator's own.
 """
 
 from __future__ import annotations
@@ -57,8 +58,15 @@ def _stream(key: str, *parts: Column) -> Column:
 
 def _refill(text: Column, seed: Column) -> Column:
     """Each digit and Latin letter replaced by a keyed one of its kind; everything else stays."""
-    digits, low = F.translate(seed, "abcdef", "012345"), F.translate(seed, "0123456789abcdef", "kmnprstvxzbcdfgh")
-    each = F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, i % 128 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substring(low, i % 128 + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.upper(F.substring(low, i % 128 + 1, F.lit(1)))).otherwise(c))
+    low = F.translate(seed, "0123456789abcdef", "kmnprstvxzbcdfgh")
+
+    def put(c: Column, i: Column) -> Column:
+        # sixteen bits a digit, so that all ten are as likely
+        digit = (F.conv(F.substring(seed, i % 32 * 4 + 1, F.lit(4)), 16, 10).cast("int") % 10).cast("string")
+        letter = F.substring(low, i % 128 + 1, F.lit(1))
+        return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
+
+    each = F.transform(F.split(text, ""), put)
     return F.array_join(each, "")
 
 
@@ -135,6 +143,9 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in their texts, all columns kept, and n_entities beside them."""
+    own = [c for c in docs.columns if c.lower() != "n_entities"]
+    docs = docs.select(*own)
+    id_name, hash_name, text_name, n_name = C.free(own, "new_id", "new_hash", "new_text", "new_n")
     text = F.col("text").cast("string")
     hit = F.coalesce(text.rlike(PII), F.lit(False))
     parts = docs.where(hit).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.split(text, PII, -1).alias("cut"), F.regexp_extract_all(text, F.lit(PII), F.lit(0)).alias("hits"))
@@ -147,7 +158,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     same = parts.alias("p").join(lists.alias("l"), F.col("p.id").eqNullSafe(F.col("l.id")) & (F.col("p.th") == F.col("l.th")))
     # between the pieces stand the surrogates
     woven = F.concat(F.array_join(F.flatten(F.zip_with("xs", F.slice("cut", F.lit(1), F.size("xs")), lambda x, c: F.array(c, x["s"]))), ""), F.element_at("cut", -1))
-    new = C.written(same.select(F.col("p.id").alias("_id"), F.col("p.th").alias("_th"), woven.alias("_text"), F.size("xs").cast("long").alias("_n")), "rewritten")
-    joined = docs.where(hit).join(new, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")))
-    changed = joined.withColumn("text", F.col("_text")).withColumn("n_entities", F.col("_n")).select(*docs.columns, "n_entities")
+    new = C.written(same.select(F.col("p.id").alias(id_name), F.col("p.th").alias(hash_name), woven.alias(text_name), F.size("xs").cast("long").alias(n_name)), "rewritten")
+    joined = docs.where(hit).join(new, F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.xxhash64(text) == F.col(hash_name)))
+    changed = joined.withColumn("text", F.col(text_name)).withColumn("n_entities", F.col(n_name)).select(*own, "n_entities")
     return changed.unionByName(docs.where(~hit).withColumn("n_entities", F.lit(0).cast("long")))

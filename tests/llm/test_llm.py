@@ -339,6 +339,54 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.secrets(empty).count() == 0
 
 
+def clashing(spark):
+    """Columns that bear the names operators like to use."""
+    names = ["base", "maybe", "runs", "every", "Base", "_base", "new_id", "new_text", "new_n", "new_hash", "bad_id", "gone_id", "id", "th", "n_entities"]
+    names = [n for i, n in enumerate(names) if n.lower() not in {x.lower() for x in names[:i]}]
+    rows = [(1, "mail a.b@example.com password = hunter2222", *names), (None, None, *names), (2, "calm words " + prose(40), *names), (2, "calm words " + prose(40), *names)]
+    return spark.createDataFrame(rows, DOC + "".join(f", {n} string" for n in names)), names
+
+
+def test_clashing_names_stay_as_they_were(spark):
+    df, names = clashing(spark)
+    bench = spark.createDataFrame([(1, prose(30))], "item_id long, text string")
+    for out in (secret_scan.masked(df), surrogates.replaced(df, "key"), decontaminate.decontaminated(df, bench)):
+        rows = out.collect()
+        assert sorted(out.columns) == sorted(df.columns) and len(rows) == 4
+        assert all(r[n] == n for r in rows for n in names if n != "n_entities")
+    assert sorted(r["n_entities"] for r in surrogates.replaced(df, "key").collect()) == [0, 0, 0, 1]
+    assert [r["text"] for r in secret_scan.masked(df).where("doc_id = 1").collect()] == ["mail a.b@example.com [SECRET]"]
+
+
+def test_discoveries_keep_the_rate():
+    """The step-up rule on binned, length-weighted chances against the rule itself; under chance alone the rate holds."""
+    r = np.random.default_rng(12)
+
+    def by_hand(p, n, rate):
+        weighed = np.sort(p * n.mean() / n)
+        ok = np.flatnonzero(weighed <= rate * np.arange(1, len(p) + 1) / len(p))
+        return int(ok[-1]) + 1 if len(ok) else 0
+
+    def found(p, n, rate):
+        bins = np.minimum(np.floor(-10 * np.log10(np.minimum(p * secret_scan.USUAL / n, 1.0))), secret_scan.BINS).astype(int)
+        histogram = {}
+        for b, m in zip(bins.tolist(), n.tolist()):
+            k, s = histogram.get(b, (0, 0))
+            histogram[b] = (k + 1, s + m)
+        return bins >= secret_scan.smallest_bin(histogram, rate)
+
+    false, runs = 0.0, 200
+    for _ in range(runs):
+        n = r.integers(20, 200, 300)
+        p = r.random(300)
+        p[:60] = 10.0 ** -r.uniform(2, 12, 60)
+        got = found(p, n, 0.05)
+        assert got.sum() <= by_hand(p, n, 0.05)
+        assert got.sum() >= by_hand(p * 10**0.1, n, 0.05)
+        false += got[60:].sum() / max(1, got.sum())
+    assert false / runs <= 0.05
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -371,6 +419,13 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r["drawn"] for r in got}) == len(got) == 30
 
 
+def test_drawn_digits_are_even(spark):
+    """Each of the ten digits is drawn about as often."""
+    rows = spark.range(2000).select(surrogates._refill(F.lit("0123456789"), surrogates._stream("key", F.col("id").cast("string"))).alias("s")).collect()
+    share = np.bincount([int(c) for r in rows for c in r["s"]], minlength=10) / 20_000
+    assert share.min() > 0.09 and share.max() < 0.11
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------------
 
 
