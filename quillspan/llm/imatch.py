@@ -15,7 +15,9 @@ The next document in ascending doc_id is found within ranges of doc_id; the firs
 guest, at the end of the range before it, so no sort of all rows in one task is needed.
 
 Null texts count as empty. Only an empty text has a blank fingerprint; equal fingerprints have the likeness 1. Rows with a
-null doc_id come last; rows that repeat a doc_id follow in the order of their texts.
+null doc_id come last; rows that repeat a doc_id, or have none, follow in the order of a hash of their texts, so ranges
+can part them too. Long texts are taken whole. An empty table gives an empty result. Columns other than doc_id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -74,29 +76,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(same / F.greatest(filled, F.lit(1)))
 
 
-def _dealt(docs: DataFrame, per_chunk: int) -> tuple[DataFrame, int]:
+def _constant(values: list[int]) -> Column:
+    """An array that the optimiser folds into one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _dealt(docs: DataFrame, per_chunk: int) -> DataFrame:
+    """doc_id, text, k, h and chunk: chunks ascend with (k, h), and none holds all rows of a frequent doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LATEST)))
-    bounds = [int(b) for b in C.ranges(docs.select("doc_id"), per_chunk, most=1024).bounds]
-    chunk = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("k"))) if bounds else F.lit(0)
-    return rows.withColumn("chunk", chunk), len(bounds) + 1
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LATEST))).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    cut = C.ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id")), per_chunk, most=1 << 17)
+    if not len(cut.bounds):
+        return rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), 1 + F.shiftright(F.col("h") * max(1, cut.nulls), 31)).otherwise(0))
+    bounds, splits, offsets = (_constant(x.tolist()) for x in (cut.bounds, cut.splits, cut.offsets))
+    # how many bounds are below k, by halving steps
+    steps = [1 << i for i in reversed(range(len(cut.bounds).bit_length()))]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < F.col("k"), at + step).otherwise(at))
+    rows = rows.withColumn("range", below)
+    pieces = F.get(splits, F.col("range"))
+    own = (F.get(bounds, F.col("range")) == F.col("k")) & (pieces > 0)
+    chunk = F.when(F.col("doc_id").isNull(), int(cut.offsets[-1]) + F.shiftright(F.col("h") * max(1, cut.nulls), 31))
+    return rows.withColumn("chunk", chunk.when(own, F.get(offsets, F.col("range")) + 1 + F.shiftright(F.col("h") * pieces, 31)).otherwise(F.get(offsets, F.col("range")))).drop("range")
 
 
 def with_next(docs: DataFrame, per_chunk: int = 2000) -> DataFrame:
     """Each row with the text after it: doc_id, text, next, and the places (chunk, at) and (next_chunk, next_at)."""
-    rows, _ = _dealt(docs, per_chunk)
-    firsts = sorted((r["chunk"], r["k"]) for r in rows.groupBy("chunk").agg(F.min("k").alias("k")).collect())
-    host = {c: firsts[i - 1][0] for i, (c, _) in enumerate(firsts)}
-    cols = ["doc_id", "text", "k", "chunk"]
+    rows = _dealt(docs, per_chunk).withColumn("chunk", F.col("chunk").cast("long"))
+    firsts = sorted((r["chunk"], r["k"], r["h"]) for r in rows.groupBy("chunk").agg(F.min(F.struct("k", "h")).alias("f")).select("chunk", "f.*").collect())
+    host = {c: firsts[i - 1][0] for i, (c, *_) in enumerate(firsts)}
+    cols = ["doc_id", "text", "k", "h", "chunk"]
     if firsts:
         spark = docs.sparkSession
-        table = F.broadcast(spark.createDataFrame([(c, k, host[c]) for c, k in firsts], "chunk int, k long, host int"))
-        guests = rows.join(table, ["chunk", "k"]).withColumn("r", F.row_number().over(Window.partitionBy("chunk").orderBy("text"))).where("r = 1")
-        guests = guests.select("doc_id", "text", "k", F.col("host").alias("chunk"), F.lit(1).alias("guest"), F.col("chunk").alias("own"))
+        # a row a chunk, of which there are 2^17 and some at most
+        table = F.broadcast(spark.createDataFrame([(c, k, h, host[c]) for c, k, h in firsts], "chunk long, k long, h long, host long"))
+        guests = rows.join(table, ["chunk", "k", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("chunk").orderBy("text"))).where("r = 1")
+        guests = guests.select("doc_id", "text", "k", "h", F.col("host").alias("chunk"), F.lit(1).alias("guest"), F.col("chunk").alias("own"))
         rows = rows.select(*cols, F.lit(0).alias("guest"), F.col("chunk").alias("own")).unionByName(guests)
     else:
         rows = rows.select(*cols, F.lit(0).alias("guest"), F.col("chunk").alias("own"))
-    w = Window.partitionBy("chunk").orderBy("guest", "k", "text")
+    w = Window.partitionBy("chunk").orderBy("guest", "k", "h", "text")
     rows = rows.withColumn("at", F.row_number().over(w)).withColumn("next", F.lead("text").over(w)).withColumn("next_guest", F.lead("guest").over(w)).withColumn("next_chunk", F.lead("own").over(w))
     rows = rows.where("guest = 0")
     return rows.select("doc_id", "text", "next", "chunk", "at", "next_chunk", F.when(F.col("next_guest") == 1, 1).otherwise(F.col("at") + 1).alias("next_at"))
