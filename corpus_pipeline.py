@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents in, clean encoded documents out. Each stage works on all that the one before it kept."""
+"""The corpus pipeline: documents in, clean encoded documents out. Each stage works on all that the one before it kept.
+
+All stages but the last return the columns of documents, whatever else these are called, and leave the rows they keep in
+no fixed order. Null and empty texts are not toxic, near no other, hold no test item and no secret, and encode to no
+pieces, so they stay. Rows with a null doc_id are never dropped as near duplicates; as toxic each row is judged by its own
+text; with decontamination they go if any of them holds a test item. Rows that repeat a doc_id count as one document for
+near duplicates and decontamination: all of them stay or go. Ties between near duplicates go to the smallest doc_id. Texts
+of any length are read whole. An empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, minhash, pieces, secret_scan, toxicity
-from quillspan.llm.common import written
+from quillspan.llm.common import free, written
 from quillspan.llm.queries import tokenizer_path
 
 
@@ -23,8 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at a similarity of 0.8 over five-word shingles, the document with the smallest id stays."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = free(docs.columns, "gone_id")
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
