@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -137,24 +137,15 @@ class Ranges:
     def chunks(self) -> int:
         return int(self.offsets[-1]) + self.nulls
 
-    def of(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
-        """The chunk of each row."""
-        key = np.asarray(ids.fill_null(0))
-        at = np.searchsorted(self.bounds, key, side="left")
-        out, offsets = self.offsets[at], self.offsets
-        null = np.asarray(ids.is_null())
-        if len(self.bounds):
-            inside = np.minimum(at, len(self.bounds) - 1)
-            heavy = (at < len(self.bounds)) & (self.bounds[inside] == key) & (self.splits[inside] > 0) & ~null
-            for i in np.flatnonzero(heavy).tolist():
-                out[i] += 1 + _text_hash(texts[i]) % int(self.splits[at[i]])
-        for i in np.flatnonzero(null).tolist():
-            out[i] = offsets[-1] + _text_hash(texts[i]) % max(1, self.nulls)
-        return out
 
+def _constant(values: np.ndarray) -> Column:
+    """An array that the optimiser folds into one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
-def _text_hash(text: pa.Scalar) -> int:
-    return xxhash.xxh3_64_intdigest((text.as_py() or "").encode("utf-8", "surrogatepass"))
+
+def text_part(text: Column) -> Column:
+    """31 bits of a text's hash: rows of one doc_id are dealt out, and follow each other, by these."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 33)
 
 
 def ranges(docs: DataFrame, per_chunk: int, most: int = 1 << 20) -> Ranges:
@@ -170,11 +161,19 @@ def ranges(docs: DataFrame, per_chunk: int, most: int = 1 << 20) -> Ranges:
     return Ranges(bounds, np.where(times > 1, times, 0), nulls)
 
 
-def chunked(docs: DataFrame, cut: Ranges) -> DataFrame:
-    """doc_id, text and chunk."""
-
-    def add(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut.of(b.column(0), b.column(1)), pa.int32())], names=["doc_id", "text", "chunk"])
-
-    return texts(docs).mapInArrow(add, "doc_id long, text string, chunk int")
+def chunked(rows: DataFrame, cut: Ranges) -> DataFrame:
+    """rows (with doc_id and text) and the chunk of each."""
+    part = text_part(F.col("text"))
+    none = F.lit(int(cut.offsets[-1])) + F.shiftright(part * max(1, cut.nulls), 31)
+    if not len(cut.bounds):
+        return rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), none).otherwise(0).cast("int"))
+    (at_name,) = free(rows.columns, "range")
+    bounds, splits, offsets = map(_constant, (cut.bounds, cut.splits, cut.offsets))
+    # how many bounds are below the id, by halving steps
+    steps = [1 << i for i in reversed(range(len(cut.bounds).bit_length()))]
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    at = F.col(at_name)
+    pieces = F.get(splits, at)
+    own = (F.get(bounds, at) == F.col("doc_id")) & (pieces > 0)
+    chunk = F.when(F.col("doc_id").isNull(), none).when(own, F.get(offsets, at) + 1 + F.shiftright(part * pieces, 31)).otherwise(F.get(offsets, at))
+    return rows.withColumn(at_name, below).withColumn("chunk", chunk.cast("int")).drop(at_name)

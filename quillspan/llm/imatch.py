@@ -76,32 +76,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(same / F.greatest(filled, F.lit(1)))
 
 
-def _constant(values: list[int]) -> Column:
-    """An array that the optimiser folds into one literal, however long."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def _dealt(docs: DataFrame, per_chunk: int) -> DataFrame:
     """doc_id, text, k, h and chunk: chunks ascend with (k, h), and none holds all rows of a frequent doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LATEST))).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
-    cut = C.ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id")), per_chunk, most=1 << 17)
-    if not len(cut.bounds):
-        return rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), 1 + F.shiftright(F.col("h") * max(1, cut.nulls), 31)).otherwise(0))
-    bounds, splits, offsets = (_constant(x.tolist()) for x in (cut.bounds, cut.splits, cut.offsets))
-    # how many bounds are below k, by halving steps
-    steps = [1 << i for i in reversed(range(len(cut.bounds).bit_length()))]
-    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < F.col("k"), at + step).otherwise(at))
-    rows = rows.withColumn("range", below)
-    pieces = F.get(splits, F.col("range"))
-    own = (F.get(bounds, F.col("range")) == F.col("k")) & (pieces > 0)
-    chunk = F.when(F.col("doc_id").isNull(), int(cut.offsets[-1]) + F.shiftright(F.col("h") * max(1, cut.nulls), 31))
-    return rows.withColumn("chunk", chunk.when(own, F.get(offsets, F.col("range")) + 1 + F.shiftright(F.col("h") * pieces, 31)).otherwise(F.get(offsets, F.col("range")))).drop("range")
+    rows = C.texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    cut = C.ranges(C.texts(docs).select("doc_id"), per_chunk, most=1 << 17)
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LATEST))).withColumn("h", C.text_part(F.col("text")))
+    return C.chunked(rows, cut)
 
 
 def with_next(docs: DataFrame, per_chunk: int = 2000) -> DataFrame:
     """Each row with the text after it: doc_id, text, next, and the places (chunk, at) and (next_chunk, next_at)."""
-    rows = _dealt(docs, per_chunk).withColumn("chunk", F.col("chunk").cast("long"))
+    rows = _dealt(docs, per_chunk)
     firsts = sorted((r["chunk"], r["k"], r["h"]) for r in rows.groupBy("chunk").agg(F.min(F.struct("k", "h")).alias("f")).select("chunk", "f.*").collect())
     host = {c: firsts[i - 1][0] for i, (c, *_) in enumerate(firsts)}
     cols = ["doc_id", "text", "k", "h", "chunk"]

@@ -45,7 +45,7 @@ class WordEncoder:
     per-text cost of its alignment. Any other tokenizer file is used as it is, text by text.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 800_000
     NORMALIZER = ["NFC", "Replace", "Lowercase"]
 
     def __init__(self, spec: str):
@@ -55,6 +55,8 @@ class WordEncoder:
         self.whole = Tokenizer.from_str(spec)
         # ids as the bytes of 32-bit (16-bit where the vocabulary allows) integers, by word and by normalised piece
         self.words: dict[bytes, bytes] = {}
+        # when there are too many, frequent words come back from the generation before without being learnt again
+        self.before: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"\n": b""}
         steps = [x["type"] for x in (got.get("normalizer") or {}).get("normalizers", [])]
         split = (got.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -111,11 +113,15 @@ class WordEncoder:
         odd = {i for i, r in enumerate(raw) if any(s in r for s in self.special)}
         words = [[] if i in odd else r.split() for i, r in enumerate(raw)]
         if len(self.words) > self.LIMIT:
-            self.words.clear()
+            self.before, self.words = self.words, {}
         if len(self.pieces) > self.LIMIT:
             self.pieces = {"\n": b""}
-        if new := list(set().union(*words).difference(self.words)):
-            self._learn(new)
+        if new := set().union(*words).difference(self.words):
+            if back := new.intersection(self.before):
+                self.words.update(zip(back, map(self.before.__getitem__, back), strict=True))
+                new -= back
+            if new:
+                self._learn(list(new))
         ids = self.words.__getitem__
         return [np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in odd else np.frombuffer(b"".join(map(ids, ws)), self.kind) for i, ws in enumerate(words)]
 
