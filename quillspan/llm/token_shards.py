@@ -27,7 +27,7 @@ from .wavelet import dumps, loads
 SHARD = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 END_ID = 2
-BATCH = 4_000_000
+BATCH = 8_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -106,9 +106,12 @@ class WordEncoder:
             at = end + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_raw([t.encode() for t in texts])
+
+    def encode_raw(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts in UTF-8."""
         if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        raw = [t.encode() for t in texts]
+            return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast([r.decode() for r in raw], add_special_tokens=False)]
         # a special token's own string in a text is matched by the library before anything else
         odd = {i for i, r in enumerate(raw) if any(s in r for s in self.special)}
         words = [[] if i in odd else r.split() for i, r in enumerate(raw)]
@@ -123,7 +126,7 @@ class WordEncoder:
             if new:
                 self._learn(list(new))
         ids = self.words.__getitem__
-        return [np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in odd else np.frombuffer(b"".join(map(ids, ws)), self.kind) for i, ws in enumerate(words)]
+        return [np.array(self.whole.encode(raw[i].decode(), add_special_tokens=False).ids, np.uint32) if i in odd else np.frombuffer(b"".join(map(ids, ws)), self.kind) for i, ws in enumerate(words)]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -147,17 +150,17 @@ def _pack(spec_of):
     def pack(table: pa.Table) -> pa.Table:
         enc = encoder(spec_of.value)
         ids = table.column("doc_id").combine_chunks()
-        key, texts = np.asarray(ids.fill_null(0)), table.column("text").combine_chunks()
+        key, texts = np.asarray(ids.fill_null(0)), table.column("text").combine_chunks().cast(pa.binary())
         order = np.argsort(key, kind="stable")
         if len(np.unique(key)) < len(key):
-            order = np.array(sorted(order.tolist(), key=lambda i: (key[i], texts[i].as_py() or "")), np.int64)
+            order = np.array(sorted(order.tolist(), key=lambda i: (key[i], texts[i].as_py() or b"")), np.int64)
         each, lens, batch, size = [], [], [], 0
-        # a call for about BATCH characters: more of a text's words are known to it, and long texts stay few
+        # a call for about BATCH bytes: more of a text's words are known to it, and long texts stay few
         for k, i in enumerate(order.tolist(), 1):
-            batch.append(texts[i].as_py() or "")
+            batch.append(texts[i].as_py() or b"")
             size += len(batch[-1])
             if size >= BATCH or k == len(order):
-                for got in enc.encode(batch):
+                for got in enc.encode_raw(batch):
                     each += [got, np.array([END_ID], np.uint16)]
                     lens.append(len(got) + 1)
                 batch, size = [], 0
