@@ -137,6 +137,12 @@ class Ranges:
     def chunks(self) -> int:
         return int(self.offsets[-1]) + self.nulls
 
+    def groups(self, chunks: np.ndarray) -> np.ndarray:
+        """The first of the chunks that share their doc_id, or have none; any other chunk stands for itself."""
+        offsets = self.offsets
+        at = np.searchsorted(offsets, chunks, "right") - 1
+        return np.where(at == len(offsets) - 1, offsets[-1], offsets[at] + np.minimum(chunks - offsets[at], 1))
+
 
 def _constant(values: np.ndarray) -> Column:
     """An array that the optimiser folds into one literal, however long."""

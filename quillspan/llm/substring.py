@@ -8,7 +8,8 @@ number of its copies. Back in its chunk, consecutive repeated edges compact into
 the span to remove.
 
 Nulls: a null text has no words; rows with a null doc_id count as later than all others and remove nothing from each
-other. Rows that share a doc_id never remove from each other. Empty texts and texts of fewer than k words stay whole.
+other. Rows that share a doc_id never remove from each other, in whichever chunks they are. Empty texts and texts of fewer
+than k words stay whole. Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -60,21 +61,28 @@ def _ask(k: int, buckets: int):
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Which edges of each chunk an earlier chunk has."""
-    order = np.argsort(np.asarray(table.column("chunk")), kind="stable")
-    chunks = np.asarray(table.column("chunk"))[order]
-    edges = table.column("edges").combine_chunks()
-    lists = [np.frombuffer(edges[int(i)].as_py(), dtype=C.U64) for i in order]
-    flat = np.concatenate(lists)
-    by = np.argsort(flat, kind="stable")
-    again = np.zeros(len(flat), bool)
-    again[by[1:]] = flat[by[1:]] == flat[by[:-1]]
-    ends = np.cumsum([len(x) for x in lists])
-    bits = [again[e - len(x) : e] for x, e in zip(lists, ends, strict=True)]
-    keep = [i for i, b in enumerate(bits) if b.any()]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"chunk": pa.array([int(chunks[i]) for i in keep], pa.int32()), "bucket": pa.array([bucket] * len(keep), pa.int32()), "again": pa.array([np.packbits(bits[i]).tobytes() for i in keep], pa.binary())})
+def _answer(cut: C.Ranges):
+    def answer(table: pa.Table) -> pa.Table:
+        """Which edges of each chunk an earlier chunk has, those of the same doc_id (or of none) left aside."""
+        order = np.argsort(np.asarray(table.column("chunk")), kind="stable")
+        chunks = np.asarray(table.column("chunk"))[order]
+        edges = table.column("edges").combine_chunks()
+        lists = [np.frombuffer(edges[int(i)].as_py(), dtype=C.U64) for i in order]
+        flat = np.concatenate(lists)
+        group = np.repeat(cut.groups(chunks.astype(np.int64)), [len(x) for x in lists])
+        by = np.argsort(flat, kind="stable")
+        new = np.concatenate([[True], flat[by[1:]] != flat[by[:-1]]])
+        # the chunk that has the edge first
+        first = group[by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]]
+        again = np.zeros(len(flat), bool)
+        again[by] = group[by] != first
+        ends = np.cumsum([len(x) for x in lists])
+        bits = [again[e - len(x) : e] for x, e in zip(lists, ends, strict=True)]
+        keep = [i for i, b in enumerate(bits) if b.any()]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"chunk": pa.array([int(chunks[i]) for i in keep], pa.int32()), "bucket": pa.array([bucket] * len(keep), pa.int32()), "again": pa.array([np.packbits(bits[i]).tobytes() for i in keep], pa.binary())})
+
+    return answer
 
 
 def _cut(k: int, buckets: int):
@@ -110,11 +118,11 @@ def _cut(k: int, buckets: int):
 def remove_repeats(docs: DataFrame, k: int = 13, chunk_docs: int = 1000) -> DataFrame:
     """Per document: words, words removed, digest of the rest, and the removed spans in word coordinates."""
     docs = C.texts(docs)
-    bounds = C.ranges(docs, chunk_docs)
+    cut = C.ranges(docs, chunk_docs)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(min(65536, max(4, chars // 12_000_000)))
-    n = max(C.parts(docs.sparkSession), bounds.chunks // 64 + 1)
-    dealt = C.chunked(docs, bounds).repartition(n, "chunk")
+    n = max(C.parts(docs.sparkSession), cut.chunks // 64 + 1)
+    dealt = C.chunked(docs, cut).repartition(n, "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_ask(k, buckets), "bucket int, chunk int, edges binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, again binary")
+    answered = asked.groupBy("bucket").applyInArrow(_answer(cut), "chunk int, bucket int, again binary")
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_cut(k, buckets), C.schema(RESULT))

@@ -82,6 +82,19 @@ def test_substring(spark, docs, empty, extra):
     assert substring.remove_repeats(extra).count() == 2
 
 
+def test_substring_with_frequent_ids(spark):
+    """Rows of one doc_id, or of none, are in several chunks and still remove nothing from each other."""
+    r = random.Random(31)
+    shared = [prose(30, r) for _ in range(6)]
+    rows = [(i, prose(10, r) + " " + r.choice(shared) + " " + prose(5, r)) for i in range(0, 80, 2)]
+    rows += [(41, r.choice([*shared, prose(30, r)]) + " " + prose(20, r)) for _ in range(40)]
+    rows += [(None, r.choice([*shared, prose(30, r)]) + " " + prose(20, r)) for _ in range(40)]
+    base = prose(25, r)
+    rows += [(41, base), (41, base + " x"), (None, base + " y"), (None, prose(26, r)), (43, base)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, DOC), chunk_docs=5).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_substring(rows)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------------
 
 
