@@ -5,8 +5,10 @@ Words everywhere are maximal runs of ``[^\\x20\\x09-\\x0D]`` - exactly what ``by
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _OWN: list[str] = []
+#: what a worker process keeps from task to task, of one operator
+_KEPT: dict[Hashable, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +75,21 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def kept(key: Hashable, make: Callable[[], object]):
+    """What the tasks of one operator share in a worker process, made by the first of them. Another key takes its place."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drop what another operator keeps in this worker process: it would stand beside the memories of the task that begins."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()  # a codec and its memory hold each other
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered for the most recent words."""
 

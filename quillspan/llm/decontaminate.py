@@ -129,6 +129,7 @@ _BLOCKS: dict[str, tuple[Block, dict[bytes, int]]] = {}
 
 def _search(shared, min_match: int):
     def search(batches):
+        C.release()
         key = shared.value[0]
         if key not in _BLOCKS:
             _BLOCKS.clear()

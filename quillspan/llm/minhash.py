@@ -79,6 +79,7 @@ def _sign(n: int):
     salt, chosen = C.mix(np.arange(1, BANDS + 1, dtype=C.U64)), band_lanes()
 
     def sign(batches):
+        C.release()
         memo, mult = C.WordHash(), C.odd(5, n)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -103,6 +104,7 @@ def _compare(n: int, percent: int):
     """Whether hub and class are linked, and what they differ in: first what the hub hasn't, then what it alone has."""
 
     def compare(batches):
+        C.release()
         memo, mult = C.WordHash(), C.odd(5, n)
         last, centre = object(), np.empty(0, C.U64)
         for batch in batches:

@@ -6,7 +6,7 @@ ten below the lowest score, and is written as its UTF-8 bytes in byte pieces. Ti
 
 White space marks begin pieces and never stand inside one (checked when a model is loaded; a model where they do is
 searched text by text), so the best path of a text is that of its space-marked stretches, and each distinct stretch is
-searched once a task.
+searched once while a worker remembers it.
 
 Decoding is exact for every text: a literal U+2581 is written as bytes, so that it isn't read back as a space. Null texts
 encode like empty ones, to no piece.
@@ -42,18 +42,22 @@ def read_model(path: str) -> dict:
 
 
 class _Memo(dict):
-    """Stretch -> ids, as the bytes of 32-bit integers."""
+    """Stretch -> ids, as the bytes of 32-bit integers. Stretches that the full memory before this one knows come over."""
 
-    def __init__(self, codec: "PieceCodec"):
-        self.codec = codec
+    def __init__(self, codec: "PieceCodec", before: dict[str, bytes]):
+        self.codec, self.before = codec, before
 
     def __missing__(self, w: str) -> bytes:
-        got = self[w] = np.array(self.codec.search(w), np.int32).tobytes()
+        got = self.before.get(w)
+        if got is None:
+            got = np.array(self.codec.search(w), np.int32).tobytes()
+        self[w] = got
         return got
 
 
 class PieceCodec:
-    LIMIT = 1_000_000
+    #: stretches in a memory; there are two, this one and the one before
+    LIMIT = 300_000
 
     def __init__(self, model: dict):
         self.bytes, self.unknown = model["bytes"], model["unknown"]
@@ -66,7 +70,7 @@ class PieceCodec:
             self.auto.add_word(p, (len(p), s, i))
         self.auto.make_automaton()
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.text_of.values())
-        self.memo = _Memo(self)
+        self.memo = _Memo(self, {})
 
     def search(self, s: str) -> list[int]:
         """Ids of the best path through s, whose spaces are marked already."""
@@ -120,7 +124,8 @@ class PieceCodec:
         if not self.apart:
             return np.array(self.search(s), np.int32)
         if len(self.memo) > self.LIMIT:
-            self.memo.clear()
+            self.memo.before = {}
+            self.memo = _Memo(self, self.memo)
         # cut where a mark follows another character: no piece stands across
         return np.frombuffer(b"".join(map(self.memo.__getitem__, STRETCH.findall(s))), np.int32)
 
@@ -144,15 +149,11 @@ class PieceCodec:
 
 
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CODECS: dict[int, PieceCodec] = {}
 
 
 def codec(model: dict) -> PieceCodec:
-    key = hash(tuple(model["pieces"][:50])) ^ len(model["pieces"])
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = PieceCodec(model)
-    return _CODECS[key]
+    """One a worker process: its stretches stay known from task to task, until a task of another operator begins."""
+    return C.kept(("pieces", hash(tuple(model["pieces"][:50])) ^ len(model["pieces"])), lambda: PieceCodec(model))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:

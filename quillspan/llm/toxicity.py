@@ -296,6 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = C.written(C.texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic"), "sample").repartition(C.parts(spark))
 
     def count(batches):
+        C.release()
         # by half of the sample, then by label: copies of a text are in one half
         got = [[Counter(), Counter()], [Counter(), Counter()]]
         for b in batches:
@@ -354,6 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     halves = spark.sparkContext.broadcast((alone(0), alone(1)))
 
     def chains(batches):
+        C.release()
         tags = [Tagger(m) for m in halves.value]
         for b in batches:
             out = []
@@ -376,6 +378,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches):
+        C.release()
         tag = Tagger(shared.value)
         for b in batches:
             got = [tag.document(t.as_py())[:3] for t in b.column(0)]
@@ -392,6 +395,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        C.release()
         tag = Tagger(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -411,6 +415,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        C.release()
         tag = Tagger(shared.value)
         for batch in batches:
             keep = [tag.score(*tag.document(None if t.as_py() is None else str(t.as_py()))[:3]) < 0.5 for t in batch.column(at)]
