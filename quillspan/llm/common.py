@@ -5,6 +5,7 @@ Words everywhere are maximal runs of ``[^\\x20\\x09-\\x0D]`` - exactly what ``by
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ U64 = np.uint64
 _OWN: list[str] = []
 #: what a worker process keeps from task to task, of one operator
 _KEPT: dict[Hashable, object] = {}
+#: glibc alone has it
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,6 +93,23 @@ def release() -> None:
         gc.collect()  # a codec and its memory hold each other
 
 
+def give_back() -> None:
+    """Free memory that Arrow and the C library hold goes to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run):
+    """run over batches; at the end its worker, which may idle for stages, gives back what is free."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered for the most recent words."""
 

@@ -128,6 +128,7 @@ _BLOCKS: dict[str, tuple[Block, dict[bytes, int]]] = {}
 
 
 def _search(shared, min_match: int):
+    @C.tidy
     def search(batches):
         C.release()
         key = shared.value[0]

@@ -78,6 +78,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _sign(n: int):
     salt, chosen = C.mix(np.arange(1, BANDS + 1, dtype=C.U64)), band_lanes()
 
+    @C.tidy
     def sign(batches):
         C.release()
         memo, mult = C.WordHash(), C.odd(5, n)
@@ -103,6 +104,7 @@ def _sign(n: int):
 def _compare(n: int, percent: int):
     """Whether hub and class are linked, and what they differ in: first what the hub hasn't, then what it alone has."""
 
+    @C.tidy
     def compare(batches):
         C.release()
         memo, mult = C.WordHash(), C.odd(5, n)

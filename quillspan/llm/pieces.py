@@ -160,6 +160,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, CRC-32 of the ids as little-endian 32-bit integers, and the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @C.tidy
     def run(batches):
         c = codec(shared.value)
         for batch in batches:
@@ -175,6 +176,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """The columns of ``encode`` and the text that the ids stand for."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @C.tidy
     def run(batches):
         c = codec(shared.value)
         for batch in batches:

@@ -295,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = C.written(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample), "labelled")
     rows = C.written(C.texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic"), "sample").repartition(C.parts(spark))
 
+    @C.tidy
     def count(batches):
         C.release()
         # by half of the sample, then by label: copies of a text are in one half
@@ -354,6 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     halves = spark.sparkContext.broadcast((alone(0), alone(1)))
 
+    @C.tidy
     def chains(batches):
         C.release()
         tags = [Tagger(m) for m in halves.value]
@@ -377,6 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model.weights, model.trans = fit_chain(got)
     shared = spark.sparkContext.broadcast(model)
 
+    @C.tidy
     def sums(batches):
         C.release()
         tag = Tagger(shared.value)
@@ -394,6 +397,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, largest marginal, expected toxic tokens, and the offending spans in code points."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @C.tidy
     def run(batches):
         C.release()
         tag = Tagger(shared.value)
@@ -414,6 +418,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @C.tidy
     def run(batches):
         C.release()
         tag = Tagger(shared.value)

@@ -52,3 +52,11 @@ def test_memory_of_stretches():
         assert not getattr(codec.memo.before, "before", {})
     assert searched.count("▁often") == 1  # frequent stretches outlive a full memory
     assert len(searched) > len(words)  # others are forgotten
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    for make in TASKS.values():
+        list(make()(iter([])))
+    assert len(given) == len(TASKS)
