@@ -13,10 +13,11 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,20 +91,22 @@ class WordEncoder:
         raw, cuts = ids.tobytes(), (ends * self.kind.itemsize).tolist()
         return [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        known, memo, norm = self.pieces, self.words, self._normal(words)
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words not known yet, which are remembered."""
+        known, norm = self.pieces, self._normal(words)
         # a word of letters alone is one piece; the others are cut, with a line end after each
         whole = list(map(str.isalpha, norm))
-        plain, odd = list(compress(norm, whole)), [i for i, w in enumerate(whole) if not w]
-        cut = self.cut("\n".join([*map(norm.__getitem__, odd), ""])) if odd else []
+        plain, odd = list(compress(norm, whole)), [w for w, x in zip(norm, whole, strict=True) if not x]
+        cut = self.cut("\n".join([*odd, ""])) if odd else []
         if new := list(set(plain).union(cut).difference(known)):
             known.update(zip(new, self._ids(new), strict=True))
-        memo.update(zip(compress(words, whole), map(known.__getitem__, plain), strict=True))
-        at = 0
-        for i in odd:
-            end = cut.index("\n", at)
-            memo[words[i]] = b"".join(map(known.__getitem__, cut[at:end]))
-            at = end + 1
+        parts = list(map(known.__getitem__, cut))
+        raw, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        at = ends[np.fromiter(map("\n".__eq__, cut), bool, len(cut))].tolist()
+        ones, others = map(known.__getitem__, plain), (raw[i:j] for i, j in pairwise([0, *at]))
+        out = [next(ones if x else others) for x in whole]
+        self.words.update(zip(words, out, strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_raw([t.encode() for t in texts])
@@ -114,19 +117,32 @@ class WordEncoder:
             return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast([r.decode() for r in raw], add_special_tokens=False)]
         # a special token's own string in a text is matched by the library before anything else
         odd = {i for i, r in enumerate(raw) if any(s in r for s in self.special)}
-        words = [[] if i in odd else r.split() for i, r in enumerate(raw)]
+        texts = pa.array([b"" if i in odd else r for i, r in enumerate(raw)], pa.large_binary())
+        # words are told apart, and their ids laid out, by Arrow: Python sees each distinct one once a call
+        cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        ids = pa.array(self._known(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        _, at, data = ids.buffers()
+        ends = np.frombuffer(at, np.int64, len(ids) + 1)[cut.offsets.to_numpy()] // self.kind.itemsize
+        flat, ends = np.frombuffer(data or b"", self.kind, ends[-1]), ends.tolist()
+        return [np.array(self.whole.encode(raw[i].decode(), add_special_tokens=False).ids, np.uint32) if i in odd else flat[a:b] for i, (a, b) in enumerate(pairwise(ends))]
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.words) > self.LIMIT:
             self.before, self.words = self.words, {}
         if len(self.pieces) > self.LIMIT:
             self.pieces = {"\n": b""}
-        if new := set().union(*words).difference(self.words):
-            if back := new.intersection(self.before):
-                self.words.update(zip(back, map(self.before.__getitem__, back), strict=True))
-                new -= back
-            if new:
-                self._learn(list(new))
-        ids = self.words.__getitem__
-        return [np.array(self.whole.encode(raw[i].decode(), add_special_tokens=False).ids, np.uint32) if i in odd else np.frombuffer(b"".join(map(ids, ws)), self.kind) for i, ws in enumerate(words)]
+        got = list(map(self.words.get, words))
+        if miss := [i for i, x in enumerate(got) if x is None]:
+            if self.before:
+                for i in miss:
+                    if (x := self.before.get(words[i])) is not None:
+                        got[i] = self.words[words[i]] = x
+                miss = [i for i in miss if got[i] is None]
+            for i, x in zip(miss, self._learn(list(map(words.__getitem__, miss))) if miss else [], strict=True):
+                got[i] = x
+        return got
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

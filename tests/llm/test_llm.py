@@ -538,6 +538,33 @@ def test_token_shards(spark, docs, empty, tmp_path):
     assert token_shards.read_shards(token_shards.write_shards(empty, f"file://{tmp_path}/b", path)).count() == 0
 
 
+class Counted(dict):
+    looks = 0
+
+    def __getitem__(self, key):
+        self.looks += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.looks += 1
+        return super().get(key, default)
+
+
+def test_token_encoder_looks_words_up_once_a_call():
+    spec = token_shards.tokenizer_spec(tokenizer_path("word_bpe_49k.json"))
+    enc = token_shards.WordEncoder(spec)
+    texts = ["One, two ONE " * 500, "", " \t\n", " two\x0b\x0cone,", "dé\u0301jà <|endoftext|> one", "<|startoftext|>"]
+    want = [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    enc.words = words = Counted()
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    assert words.looks < 20  # 1,500 words, of which a handful are distinct
+    # no word is lost while the memory fills up, is passed on and read back
+    enc.LIMIT = 3
+    for t, ids in [*zip(texts, want), *zip(texts[::-1], want[::-1])] * 3:
+        assert enc.encode([t])[0].tolist() == ids
+    assert enc.before and enc.encode([]) == []
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------------
 
 
