@@ -21,6 +21,7 @@ import zlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,9 @@ class PieceCodec:
     def __init__(self, model: dict):
         self.bytes, self.unknown = model["bytes"], model["unknown"]
         self.text_of = {i: p for p, _, i in model["pieces"]}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        # what each id stands for in UTF-8, by id and as an array over all ids
+        self.raw = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in self.text_of.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.table = pa.array(map(self.raw.get, range(max(self.raw, default=-1) + 1)), pa.large_binary())
         self.scores = {p: (s, i) for p, s, i in model["pieces"]}
         self.worst = min((s for _, s, _ in model["pieces"]), default=0.0) - 10
         self.auto = ahocorasick.Automaton()
@@ -130,22 +133,22 @@ class PieceCodec:
         return np.frombuffer(b"".join(map(self.memo.__getitem__, STRETCH.findall(s))), np.int32)
 
     def decode(self, ids) -> str:
-        try:
-            return "".join(map(self.text_of.__getitem__, ids)).replace(SPACE, " ")[1:]
-        except KeyError:  # byte pieces
-            pass
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(self.text_of[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """The texts of lists of ids, a null list being empty."""
+        flat = ids.flatten()
+        if not len(flat):
+            return pa.array([""] * len(ids), pa.string())
+        taken = self.table.take(flat)
+        if taken.null_count:
+            raise KeyError("an id that stands for nothing")
+        # the ids' bytes stand one after another: a text is what lies between its first and its last
+        _, at, data = taken.buffers()
+        lists = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_numpy()])
+        cuts = np.frombuffer(at, np.int64, len(taken) + 1)[lists]
+        whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), data])
+        return pc.utf8_slice_codeunits(whole.cast(pa.large_string()), 1).cast(pa.string())
 
 
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -167,7 +170,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 ids = [c.encode(t.as_py() or "") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], schema=RESULT)
+                lens = np.fromiter(map(len, ids), np.int64, len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lens]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lens), pa.array([zlib.crc32(np.ascontiguousarray(x, "<i4")) for x in ids], pa.int64()), lists], schema=RESULT)
 
     return C.texts(docs).mapInArrow(run, C.schema(RESULT))
 
@@ -182,7 +187,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.decode(x.as_py() or []) for x in part.column("ids")], pa.string())], names=[*part.schema.names, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, c.decode_all(part.column("ids"))], names=[*part.schema.names, "text"])
 
     names = C.schema(RESULT)
     return encoded.select(*RESULT.names).mapInArrow(run, f"{names}, text string")

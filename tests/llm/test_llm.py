@@ -5,8 +5,10 @@ import random
 import re
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +288,29 @@ def test_pieces(spark, docs, codec, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_pieces_decode_in_arrays(codec, monkeypatch):
+    """Workers decode whole batches: no id becomes a Python object, nulls are empty, unknown ids are refused."""
+    texts = ["hello world", "", " two  spaces ", "\u2581 literal \ufffe", "\U0001f600日本", "é\n\t", None, prose(30), "x"]
+    ids = pa.array([codec.encode(t).tolist() if t is not None else None for t in texts], pa.list_(pa.int32()))
+    assert codec.decode_all(ids).to_pylist() == [t or "" for t in texts] == [codec.decode(x or []) for x in ids.to_pylist()]
+    assert codec.decode_all(ids[2:5]).to_pylist() == texts[2:5]
+    assert codec.decode_all(ids[:0]).to_pylist() == [] and codec.decode_all(ids[1:2]).to_pylist() == [""]
+    for wrong in ([0, None], [codec.unknown]):
+        with pytest.raises(KeyError):
+            codec.decode_all(pa.array([wrong], pa.list_(pa.int32())))
+    # the functions that the workers get
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda f, _: f)
+    frame.select = lambda *_: frame
+    monkeypatch.setattr(pieces.C, "texts", lambda x: x)
+    monkeypatch.setattr(pieces.PieceCodec, "decode", None)
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    made = list(pieces.encode(frame, path)(iter([rows])))
+    assert [x or [] for x in ids.to_pylist()] == [x for b in made for x in b.column("ids").to_pylist()] and made[0].schema == pieces.RESULT
+    assert [t for b in pieces.decode(frame, path)(iter(made)) for t in b.column("text").to_pylist()] == [t or "" for t in texts]
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------------
 
 
