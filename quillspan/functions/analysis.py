@@ -92,6 +92,13 @@ class Chain:
     def _stop(self, f: dict) -> list[str]:
         return f.get("words") or STOPWORDS.get(f.get("language") or self.language or "", [])
 
+    def words(self, text: Column) -> Column | None:
+        """array<string> of an indexed text where a term's index is its position: a chain that folds case at most."""
+        cut = TOKENIZERS[self.tokenizer]
+        if self.char_filters or cut is None or self._nfkc() or any(f["type"] not in {"normalize", "lowercase"} for f in self.filters):
+            return None
+        return F.array_remove(F.split(F.lower(text) if self.filters else text, cut), "")
+
     def tokens(self, text: Column) -> Column:
         """array<struct<p:int,t:string>> of an indexed text."""
         for f in self.char_filters:

@@ -11,7 +11,7 @@ from ..errors import RequestError
 from ..functions.analysis import folded
 from ..plans.clauses import Facet, read_request
 from . import facets as fc
-from .text import near_start
+from .evidence import near_start
 
 MIN_FOR_TYPOS = 5
 

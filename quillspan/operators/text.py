@@ -1,7 +1,7 @@
 """Full-text search over derived postings: BM25, prefixes, typos, phrases, synonyms.
 
-A query's words are expanded to matching terms of the field's dictionary, never against documents. What leaves the
-postings is a row for each document, field and word, which combine as the request asks.
+Where postings were made, a query's words are expanded on the field's dictionary; elsewhere one pass over the texts finds
+all that a request asks (``evidence``). From there a row for each document, field and word combine as the request asks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..plans.clauses import Words
 
 K1 = 1.2
 LENGTH = {"none": 0.0, "moderate": 0.75, "strong": 1.0}
-ONE_TYPO, TWO_TYPOS, FIXED_START = 5, 9, 1
+ONE_TYPO, TWO_TYPOS = 5, 9
 SYNONYM_BOOST, EXACT_BOOST = 0.8, 2.0
 
 
@@ -53,68 +53,66 @@ def edits_allowed(word: str, usage: dict, words: Words, excluded: frozenset[str]
     return 1 if len(word) >= conf.get("minLengthOneTypo", ONE_TYPO) else 0
 
 
-def swaps(word: str) -> list[str]:
-    """Words that differ by one swap of neighbours."""
-    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
-
-
-def near(term: Column, word: str, edits: int) -> Column:
-    """Whether a term is within so many edits, a swap of neighbours being one."""
-    close = lambda w, k: (F.levenshtein(term, F.lit(w), k) >= 0) if k else term == w
-    tests = [close(word, edits)]
-    if edits == 1:
-        tests.append(term.isin(swaps(word)) if len(word) > 1 and swaps(word) else F.lit(False))
-    elif edits == 2:
-        tests += [close(s, 1) for s in swaps(word)]
-    return reduce(Column.__or__, tests)
+def ways(f: TextField, word: str, words: Words, as_prefix: bool, excluded: frozenset[str]) -> list[tuple[tuple, float, str]]:
+    """(need, boost, kind): the ways in which a document holds one word that count the same however often it does."""
+    edits = edits_allowed(word, f.usage, words, excluded, f.autocomplete_only)
+    starts = as_prefix or f.autocomplete_only
+    out = [(("starts", word), 1.0, "exact")] if starts else []
+    if edits:
+        out.append((("near", word, 1, starts), float(edits), "typo"))
+        if edits == 2:
+            out.append((("near", word, 2, starts), 1.0, "typo"))
+    return out
 
 
-def near_start(term: Column, word: str, edits: int) -> Column:
-    """Whether some beginning of a term is within so many edits: a half-typed word takes anything after such a reading."""
-    sizes = range(max(1, len(word) - edits), len(word) + edits + 1)
-    return reduce(Column.__or__, [(F.length(term) >= k) & near(F.substring(term, 1, k), word, edits) for k in sizes])
+def needs_of(index, fields: list[TextField], words: Words) -> list[tuple[TextField, tuple]]:
+    """What a text clause may ask of the texts, relaxed readings of it as well, so that one pass finds it all."""
+    out = []
+    parts = read_typed(words.text) if words.match == "user" else []
+    phrases = [words.text] if words.match == "phrase" else [p.text for p in parts if p.phrase]
+    loose = [] if words.match == "phrase" else [" ".join(p.text for p in parts if not p.phrase and not p.exclude)] if parts else [words.text]
+    loose += [p.text for p in parts if p.exclude and not p.phrase]
+    for f in fields:
+        excluded, sets = index.typo_exclusions(f), index.synonyms(f)
+        for text in loose:
+            read = f.chain.analyze(text)
+            for slot, (_, word) in enumerate(read):
+                last = slot == len(read) - 1 and words.prefix == "last_token" and not f.autocomplete_only
+                out += [] if f.autocomplete_only else [(f, ("is", word))]
+                at, typed = completed(index, f, text, len(read), word, last)
+                out += [(at, need) for need, _, _ in ways(at, typed, words, last, excluded)]
+                if last and len(read) > 1 and words.relax != "off":
+                    out += [(f, need) for need, _, _ in ways(f, word, words, False, excluded)]
+                for alternative in sets.get(word, []):
+                    out += [(f, ("is", alternative[0]))] if len(alternative) == 1 else [(at, ("at", t)) for t in alternative]
+        for text in phrases if not f.autocomplete_only else []:
+            read = f.chain.analyze(text)
+            out += [(f, ("at" if len(read) > 1 else "is", t)) for _, t in read]
+    return out
 
 
 def term_hits(index, f: TextField, wanted: list[tuple[int, str, float]], keys: list[str]) -> DataFrame:
-    """Keys, slot, kind and BM25 score of (slot, term, boost): one pass over the postings of all terms."""
-    n, average = index.text_stats(f.name)
-    by_term: dict[str, list[tuple[int, float]]] = {}
-    for slot, term, boost in wanted:
-        by_term.setdefault(term, []).append((slot, boost))
-    slots = F.create_map(*(c for t, xs in by_term.items() for c in (F.lit(t), F.array(*(F.struct(F.lit(i).alias("slot"), F.lit(float(b)).alias("boost")) for i, b in xs)))))
-    tfs = index.postings(f.name).where(F.col("term").isin(list(by_term))).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """Keys, slot, kind and BM25 score of (slot, term, boost)."""
+    found = index.evidence(f.name, {("is", term) for _, term, _ in wanted})
     # a row for each word of the query
-    df = tfs.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tfs.join(index.lengths(f.name), keys).join(F.broadcast(df), "term").select(*keys, F.explode(slots[F.col("term")]).alias("x"), "tf", "df", "len")
-    score = F.col("x.boost") * bm25(F.col("tf"), F.col("df"), n, F.col("len"), average, f.b)
+    slots = [F.struct(F.lit(slot).alias("slot"), F.lit(float(boost)).alias("boost"), F.col(found.columns["is", term]).alias("tf"), F.lit(found.held["is", term]).alias("df")) for slot, term, boost in wanted]
+    rows = found.frame.select(*keys, "len", F.explode(F.filter(F.array(*slots), lambda x: x["tf"] > 0)).alias("x"))
+    score = F.col("x.boost") * bm25(F.col("x.tf"), F.col("x.df"), found.n, F.col("len"), found.average, f.b)
     return rows.select(*keys, F.col("x.slot").alias("slot"), F.lit("exact").alias("kind"), score.alias("s"))
 
 
 def word_hits(index, f: TextField, word: str, slot: int, keys: list[str], words: Words, as_prefix: bool, excluded: frozenset[str], synonyms: list[tuple[str, ...]]) -> list[DataFrame]:
     """Frames of keys, slot, kind and score: the ways in which documents hold one word, but for its very term."""
-    post = index.postings(f.name)
     out = []
-    edits = edits_allowed(word, f.usage, words, excluded, f.autocomplete_only)
-
-    def constant(test: Column, boost: float, kind: str) -> DataFrame:
-        terms = index.terms(f.name).where(test).select("term")
-        # a dictionary's matches can be many, so Spark picks the join
-        return post.join(terms, "term", "left_semi").select(*keys).distinct().select(*keys, F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), F.lit(float(boost)).alias("s"))
-
-    term = F.col("term")
-    starts = as_prefix or f.autocomplete_only
-    if starts:
-        out.append(constant(term.startswith(word), 1.0, "exact"))
+    held = ways(f, word, words, as_prefix, excluded)
+    if held:
+        found = index.evidence(f.name, {need for need, _, _ in held})
+    for need, boost, kind in held:
+        rows = found.frame.where(F.col(found.columns[need]) > 0)
+        out.append(rows.select(*keys, F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), F.lit(float(boost)).alias("s")))
     for alternatives in synonyms:
         if len(alternatives) > 1:
             out.append(phrase_hits(index, f, list(enumerate(alternatives)), 0, keys).select(*keys, F.lit(slot).alias("slot"), F.lit("exact").alias("kind"), (F.col("s") * SYNONYM_BOOST).alias("s")))
-    if edits:
-        anchor = term.startswith(word[:FIXED_START])
-        test = near_start if starts else near
-        held = term.startswith(word) if starts else term == word
-        out.append(constant(anchor & test(term, word, 1) & ~held, float(edits), "typo"))
-        if edits == 2:
-            out.append(constant(anchor & test(term, word, 2) & ~test(term, word, 1) & ~held, 1.0, "typo"))
     return out
 
 
@@ -122,34 +120,37 @@ def phrase_hits(index, f: TextField, tokens: list[tuple[int, str]], slop: int, k
     """Documents that hold the words in order, adjacent but for holes and so many words between: keys and score."""
     if f.autocomplete_only:
         raise RequestError("search:usage_unsupported", f"{f.name} has no positions", f.name)
-    n, average = index.text_stats(f.name)
     base = tokens[0][0]
     offsets = [(p - base, t) for p, t in tokens]
     distinct = sorted({t for _, t in tokens})
-    post = index.postings(f.name).where(F.col("term").isin(distinct))
+    found = index.evidence(f.name, {("at", t) for t in distinct})
+    spots = {t: F.col(found.columns["at", t]) for t in distinct}
+    rows = found.frame.where(reduce(Column.__and__, [F.size(c) > 0 for c in spots.values()]))
     if slop == 0:
         # a phrase starts where every word stands at its own distance from the start
-        pairs = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(t).alias("w"), F.lit(i).alias("i")) for i, (o, t) in enumerate(offsets)))
-        starts = post.select(*keys, "pos", "term", F.explode(pairs).alias("x")).where("term = x.w").groupBy(*keys, (F.col("pos") - F.col("x.o")).alias("start")).agg(F.count_distinct("x.i").alias("n")).where(F.col("n") == len(offsets))
-        tfs = starts.groupBy(*keys).agg(F.count("*").cast("double").alias("tf"))
+        starts = [_moved(spots[t], -o) for o, t in offsets]
+        tf = F.size(reduce(F.array_intersect, starts) if len(starts) > 1 else F.array_distinct(starts[0])).cast("double")
     else:
-        spots = post.groupBy(*keys).agg(*(F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"p{i}") for i, (_, t) in enumerate(offsets)))
 
         def end(start: Column) -> Column:
             at = start
             for i in range(1, len(offsets)):
                 step = offsets[i][0] - offsets[i - 1][0]
-                at = F.array_min(_after(F.col(f"p{i}"), at, step))
+                at = F.array_min(_after(spots[offsets[i][1]], at, step))
             return at
 
         width = offsets[-1][0]
-        extra = F.transform("p0", lambda p: end(p) - p - width)
+        extra = F.transform(F.array_sort(spots[offsets[0][1]]), lambda p: end(p) - p - width)
         close = F.filter(extra, lambda x: (x.isNotNull()) & (x <= slop))
-        tfs = spots.select(*keys, F.aggregate(close, F.lit(0.0), lambda a, x: a + 1.0 / (1.0 + x)).alias("tf")).where("tf > 0")
-    dfs = index.postings(f.name).where(F.col("term").isin(distinct)).select(*keys, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    idf = dfs.agg(F.sum(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
-    rows = tfs.join(index.lengths(f.name), keys).crossJoin(F.broadcast(idf))
-    return rows.select(*keys, (F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - f.b + f.b * F.col("len") / (average or 1.0)))).alias("s"))
+        tf = F.aggregate(close, F.lit(0.0), lambda a, x: a + 1.0 / (1.0 + x))
+    n, dfs = found.n, [float(found.held["at", t]) for t in distinct]
+    idf = reduce(Column.__add__, [F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5))) for df in dfs])
+    score = idf * F.col("tf") / (F.col("tf") + K1 * (1 - f.b + f.b * F.col("len") / (found.average or 1.0)))
+    return rows.select(*keys, "len", tf.alias("tf")).where("tf > 0").select(*keys, score.alias("s"))
+
+
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p + by)
 
 
 def _after(positions: Column, at: Column, step: int) -> Column:

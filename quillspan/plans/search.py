@@ -17,9 +17,10 @@ from ..errors import RequestError
 from ..functions.analysis import Chain
 from ..operators import facets as fc
 from ..operators import ranking as rk
+from ..operators import evidence as ev
 from ..operators.compiler import Compiler
-from ..operators.text import TextField
-from .clauses import Facet, Limits, Reader, Request, Text, read_request, scores, walk
+from ..operators.text import TextField, needs_of
+from .clauses import Facet, FieldClause, Fuse, Knn, Limits, Nested, Reader, Request, Text, Words, read_request, scores, walk
 from .definition import IndexDefinition
 
 #: the text column whose keys have a locale are cached by (field, locale)
@@ -72,6 +73,8 @@ class Index:
         self._names = itertools.count()
         self._tables: dict[str, DataFrame] = dict(tables or {})
         self._stats: dict[str, tuple[float, float]] = {}
+        self._evidence: dict[str, ev.Evidence] = {}
+        self._needs: dict[str, set[tuple]] = {}
 
     @property
     def ranking(self) -> dict:
@@ -114,14 +117,16 @@ class Index:
             self._tables[key] = make()
         return self._tables[key]
 
+    def _tokens(self, name: str) -> Column:
+        values, chain = self._text_of(name)[2], self.chain(name)
+        return F.flatten(F.transform(values, lambda v, i: F.transform(chain.tokens(v), lambda x: F.struct((x["p"] + i * 100_000).alias("p"), x["t"].alias("t")))))
+
     def postings(self, name: str) -> DataFrame:
         """keys, pos, term of a text field; several values follow each other with a gap, so that no phrase spans two."""
 
         def make():
-            source, keys, values = self._text_of(name)
-            chain = self.chain(name)
-            tokens = F.flatten(F.transform(values, lambda v, i: F.transform(chain.tokens(v), lambda x: F.struct((x["p"] + i * 100_000).alias("p"), x["t"].alias("t")))))
-            return source.select(*keys, F.explode(tokens).alias("x")).select(*keys, F.col("x.p").alias("pos"), F.col("x.t").alias("term"))
+            source, keys, _ = self._text_of(name)
+            return source.select(*keys, F.explode(self._tokens(name)).alias("x")).select(*keys, F.col("x.p").alias("pos"), F.col("x.t").alias("term"))
 
         return self._table("postings", name, make)
 
@@ -153,6 +158,52 @@ class Index:
             self._stats[key] = (float(r["n"]), float(r["a"] or 0.0))
         return self._stats[key]
 
+    def _plain_words(self, name: str) -> Column | None:
+        """The terms alone of a single value whose chain leaves each at its own index."""
+        place = self._place(name)
+        at = Compiler(self, self._locale.get(place.name), place.nested, F.col("_elem") if place.nested else None)
+        value, many = at.values(place)
+        return None if many else self.chain(name).words(value)
+
+    def evidence(self, name: str, needs: set[tuple]) -> ev.Evidence:
+        """What meets the needs in a text field. The last is kept: an index is one generation of documents."""
+        key = f"{name}:{self._locale.get(name.partition('@')[0]) or ''}"
+        if key in self._evidence and self._evidence[key].covers(needs):
+            return self._evidence[key]
+        wanted = sorted(needs | self._needs.get(key, set()), key=repr)
+        columns = {x: f"_n{i}" for i, x in enumerate(wanted)}
+        if ready := f"postings:{key}" in self._tables:
+            keys = [self.pk] + (["_ord"] if self._place(name).nested else [])
+            frame = ev.kept(ev.of_postings(self.postings(name), self.terms(name), self.lengths(name), keys, wanted, list(columns.values())))
+        else:
+            source, keys, _ = self._text_of(name)
+            frame = ev.kept(ev.of_texts(source, keys, self._plain_words(name), self._tokens(name), wanted, list(columns.values())))
+        r = frame.agg(F.count("*").alias("n"), F.avg("len").alias("a"), *(F.count_if(ev.held_by(x, c)).alias(c) for x, c in columns.items())).first()
+        n, average = self.text_stats(name) if ready else (float(r["n"]), float(r["a"] or 0.0))
+        self._evidence[key] = found = ev.Evidence(frame, columns, n, average, {x: r[c] for x, c in columns.items()})
+        return found
+
+    def gather(self, r: Request) -> None:
+        """Note what all text clauses of a request may ask, so that one pass over a field serves them."""
+        self._needs = {}
+
+        def visit(clauses, path: str | None) -> None:
+            for c in clauses:
+                words, fields = (c.words, c.fields) if isinstance(c, Text) else (c.match, ((c.field, None),)) if isinstance(c, FieldClause) and isinstance(c.match, Words) else (None, None)
+                if words is not None:
+                    for f, need in needs_of(self, self.text_fields(fields, path, r.locale), words):
+                        self._needs.setdefault(f"{f.name}:{self._locale.get(f.name.partition('@')[0]) or ''}", set()).add(need)
+                elif isinstance(c, Fuse):
+                    for x in c.rankings:
+                        visit(x.clauses, path)
+                    visit(c.filter, path)
+                elif isinstance(c, Knn):
+                    visit(c.filter, path)
+                elif hasattr(c, "clauses"):
+                    visit(c.clauses, c.path if isinstance(c, Nested) else path)
+
+        visit((*r.query, *r.filters, *(r.rescore.boost if r.rescore else ())), None)
+
     def prepared(self, *names: str, write_to: str | None = None) -> "Index":
         """The same index with postings, lengths and dictionaries of text fields made once: written, or cached."""
         tables = dict(self._tables)
@@ -239,6 +290,7 @@ class Index:
 
         r = self.request(q)
         r, reading = interpreted(self, r)
+        self.gather(r)
         out = self._search(r)
         out.interpreted = reading
         if self._relaxable(r) and out.matches.limit(1).count() == 0 and (change := relaxed(self, r)):
